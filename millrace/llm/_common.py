@@ -5,6 +5,8 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +19,26 @@ ASCII_SPACE = b" \t\n\x0b\x0c\r"
 CHUNK = 2 << 20
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors once, so that their Python workers find it wherever they run."""
+    sc = spark.sparkContext
+    if getattr(sc, "_corpus_package", None):
+        return
+    package = Path(__file__).resolve().parent.parent
+    at = Path(tempfile.mkdtemp(prefix="package-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(at, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(str(at))
+    sc._corpus_package = str(at)
+
+
+def in_arrow(df: DataFrame, batches, schema: str) -> DataFrame:
+    """df.mapInArrow, with this package on the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(batches, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -34,6 +56,7 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch(df: DataFrame, tag: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import byte_values, pieces_of, scratch, spans_hash, text_buffers
+from ._common import byte_values, in_arrow, pieces_of, scratch, spans_hash, text_buffers
 
 CAPACITY, END_ID = 1024, 2
 #: Units whose ids a worker remembers; beyond, it starts anew.
@@ -162,7 +162,7 @@ def tokenised(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, nth long, part int" + ", ids array<long>" * with_ids
-    return docs.select("doc_id", "text", F.spark_partition_id().alias("part")).mapInArrow(batches, schema)
+    return docs.select("doc_id", "text", F.spark_partition_id().alias("part")).transform(in_arrow, batches, schema)
 
 
 def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, list[int]]]:
@@ -251,7 +251,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
 
     out = [c for c in pieces.columns if c not in ("part", "nth")]
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema if f.name in out)
-    seated = short.join(bases, ["part", "length"]).withColumn("rank", F.col("base") + F.col("nth")).mapInArrow(seat, f"{kinds}, sequence_id long, offset long")
+    seated = short.join(bases, ["part", "length"]).withColumn("rank", F.col("base") + F.col("nth")).transform(in_arrow, seat, f"{kinds}, sequence_id long, offset long")
     # full pieces fill a sequence each, numbered below zero by their part and their place in it
     whole = pieces.where(F.col("length") == capacity).withColumns({"sequence_id": -1 - (F.col("nth") + F.col("part").cast("long") * (1 << 40)), "offset": F.lit(0).cast("long")})
     return seated.unionByName(whole.select(*seated.columns))

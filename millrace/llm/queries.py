@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, packing, sharding, simhash, toxicity
+from . import decontaminate, embedding_dedup, html_extraction, line_dedup, packing, sharding, simhash, suffix_dedup, toxicity, url_filter
 from ._common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -17,6 +17,14 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path(TOKENIZER))
 
 
+#: (host, path, verdict); a rule holds for the host and all its subdomains.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op2_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(table(spark, sf_dir, "documents"), 40)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int"), F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
@@ -28,6 +36,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.size(line_dedup.lines_of(F.col("text"))).cast("long").alias("n_lines"), dropped.alias("n_dropped"), F.sha2(line_dedup.apply_keep(F.col("text"), F.col("__dropped")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op4_host_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_latent_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", F.round("cosine", 4).alias("cosine"), F.round("lcs_ratio", 4).alias("lcs_ratio"), F.round("answer_ratio", 4).alias("answer_ratio"))
@@ -38,6 +50,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_pivot_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -48,7 +64,11 @@ def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op2_virtual_slots, op3_line_dedup, op5_latent_retrieval, op6_simhash, op8_toxicity, op9_best_fit)}
+def op10_sparse_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats(table(spark, sf_dir, "documents"), min_words=50)
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_virtual_slots, op3_line_dedup, op4_host_suffix_array, op5_latent_retrieval, op6_simhash, op7_pivot_permutation, op8_toxicity, op9_best_fit, op10_sparse_suffix_array)}
 
 #: What the operators' queries return, in DuckDB's SQL, over the same tables; the rest is tested against brute force.
 ORACLES = {

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import components, identity, scratch
+from ._common import components, identity, in_arrow, scratch
 
 SEGMENTS, WIDTH, MOST = 16, 4, 3
 BLOCK = 1 << 16
@@ -52,7 +52,7 @@ def fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), fp], names=["doc_id", "rid", "rid2", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", *identity("doc_id", "text"), "text").mapInArrow(batches, f"doc_id {kind}, rid long, rid2 long, fp long")
+    return docs.select("doc_id", *identity("doc_id", "text"), "text").transform(in_arrow, batches, f"doc_id {kind}, rid long, rid2 long, fp long")
 
 
 def _signed(x: int) -> int:

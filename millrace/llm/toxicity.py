@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import scratch, text_buffers, words
+from ._common import in_arrow, scratch, text_buffers, words
 
 MAX_ROWS, LEXICON, WINDOW = 16_384, 65_536, 24
 BEGINNINGS = (4, 5, 6)
@@ -228,7 +228,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, lexicon: i
     if not all(model.totals):
         model.emit, model.move = train([])
         return model
-    forms = rows.mapInArrow(_counts, "form long, toxic long, clean long").groupBy("form").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    forms = rows.transform(in_arrow, _counts, "form long, toxic long, clean long").groupBy("form").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     odds = F.log((F.col("toxic") + 0.5) / (model.totals[0] + 1)) - F.log((F.col("clean") + 0.5) / (model.totals[1] + 1))
     got = forms.where((F.col("toxic") >= 2) & (odds >= float(BINS[0]))).orderBy(odds.desc(), "form").limit(lexicon).toPandas()
     h = got["form"].to_numpy(np.int64).view(np.uint64)
@@ -259,7 +259,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, lexicon: i
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in out], pa.binary()), pa.array([k[1] for k in out], pa.binary())], names=["x", "y"])
 
-    got = rows.mapInArrow(windows, "x binary, y binary").orderBy(F.xxhash64("x", "y")).limit(max_rows).collect()
+    got = rows.transform(in_arrow, windows, "x binary, y binary").orderBy(F.xxhash64("x", "y")).limit(max_rows).collect()
     model.emit, model.move = train([(np.frombuffer(bytes(a), np.int8).reshape(-1, 4).astype(np.int64), np.frombuffer(bytes(y), np.int8).astype(np.int64)) for a, y in got])
     return model
 
@@ -297,4 +297,4 @@ def score(docs: DataFrame, model: Crf, bar: float = 0.5) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.clip(top, 0.0, 1.0)), pa.array(found, kind)], names=[*kept, "score", "spans"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(batches, f"{kinds}, score double, spans array<struct<start:long,length:long,score:double>>")
+    return docs.transform(in_arrow, batches, f"{kinds}, score double, spans array<struct<start:long,length:long,score:double>>")
