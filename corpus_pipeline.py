@@ -16,7 +16,8 @@ from millrace.llm._common import scratch, table
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below one half; the model learns from the labelled rows among docs."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where(F.col("score") < 0.5).select(*docs.columns)
+    scored = toxicity.score(docs, model, names=("__score", "__spans"))
+    return scored.where(F.col("__score") < 0.5).drop("__score", "__spans")
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +26,7 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     text = F.when(F.size("__dropped") == 0, F.col("text")).otherwise(line_dedup.apply_keep(F.col("text"), F.col("__dropped")))
     lines = F.size(line_dedup.lines_of(F.col("text")))
     lost = F.aggregate("__dropped", F.lit(0), lambda a, r: a + r["length"])
-    return kept.where(lost < lines).withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return kept.where(lost < lines).withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).drop("__dropped")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

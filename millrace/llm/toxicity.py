@@ -10,7 +10,7 @@ whole text; the marginals give the offending offsets, the largest of them the do
 The fit sees at most MAX_ROWS labelled rows of each class and LEXICON word forms (parameters); scoring sees
 all rows. Nulls: a null text is empty and gets the score 0.0; a null doc_id counts as held out. Labels that
 are null are ignored, repeated ones count as their maximum. Without labels of both classes all scores are 0.
-Repeated rows are scored each; extra columns stay in `score`.
+Repeated rows are scored each; extra columns stay in `score`, except for those with the new columns' names.
 """
 
 from __future__ import annotations
@@ -133,7 +133,8 @@ def train(windows: list[tuple[np.ndarray, np.ndarray]], rounds: int = 150, rate:
     mask = np.zeros((rows, wide))
     for i, (f, labels) in enumerate(windows):
         x[i, : len(labels)], y[i, : len(labels)], mask[i, : len(labels)] = f, labels, 1
-    w, m, v = np.concatenate([emit, move]), 0.0, 0.0
+    free, m, v = np.concatenate([emit, move]), 0.0, 0.0
+    odds = slice(1, 2 + len(BINS))  # a bin's weight is the sum of its step and of those of all lower bins: unseen bins follow their neighbours
     pair_true = np.zeros(5)
     pair_true[0] = y[:, 0].sum()
     both = mask[:, 1:] > 0
@@ -141,6 +142,8 @@ def train(windows: list[tuple[np.ndarray, np.ndarray]], rounds: int = 150, rate:
         pair_true[1 + k] = ((2 * y[:, :-1] + y[:, 1:] == k) & both).sum()
     true = np.bincount(x.ravel(), weights=np.repeat((y * mask).ravel(), 4), minlength=N_FEATURES)
     for step in range(1, rounds + 1):
+        w = free.copy()
+        w[odds] = np.cumsum(free[odds])
         g = np.exp(np.clip(w[:N_FEATURES][x].sum(axis=2), -40, 40))
         begin, *mm = np.exp(w[N_FEATURES:])
         mm = np.array(mm).reshape(2, 2)
@@ -167,10 +170,13 @@ def train(windows: list[tuple[np.ndarray, np.ndarray]], rounds: int = 150, rate:
         post = post[:, :, 1] / post.sum(axis=2)
         pair[0] = post[:, 0].sum()
         expected = np.bincount(x.ravel(), weights=np.repeat((post * mask).ravel(), 4), minlength=N_FEATURES)
-        grad = (np.concatenate([true, pair_true]) - np.concatenate([expected, pair])) / rows - 1e-4 * w
+        grad = (np.concatenate([true, pair_true]) - np.concatenate([expected, pair])) / rows
+        grad[odds] = np.cumsum(grad[odds][::-1])[::-1]
+        grad -= 1e-4 * free
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
-        w = w + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    return w[:N_FEATURES], w[N_FEATURES:]
+        free = free + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    free[odds] = np.cumsum(free[odds])
+    return free[:N_FEATURES], free[N_FEATURES:]
 
 
 def _forms(col: pa.Array):
@@ -264,9 +270,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, lexicon: i
     return model
 
 
-def score(docs: DataFrame, model: Crf, bar: float = 0.5) -> DataFrame:
-    """docs with score and spans: array<struct<start, length, score>> in code points, the tokens whose marginal reaches bar."""
+def score(docs: DataFrame, model: Crf, bar: float = 0.5, names: tuple[str, str] = ("score", "spans")) -> DataFrame:
+    """docs with score and spans: array<struct<start, length, score>> in code points, the tokens whose marginal reaches bar.
+
+    names: of the two new columns; they replace columns of docs with these names.
+    """
     tables = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.drop(*names)
     kept = docs.columns
     at = kept.index("text")
 
@@ -294,7 +304,7 @@ def score(docs: DataFrame, model: Crf, bar: float = 0.5) -> DataFrame:
                 points = np.concatenate([[0], np.cumsum((buf[int(offsets[row]) : int(offsets[row + 1])] & 0xC0) != 0x80)])
                 found.append([{"start": int(points[s]), "length": int(points[e] - points[s]), "score": x} for s, e, x in spans[row]])
             kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("score", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.clip(top, 0.0, 1.0)), pa.array(found, kind)], names=[*kept, "score", "spans"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.clip(top, 0.0, 1.0)), pa.array(found, kind)], names=[*kept, *names])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.transform(in_arrow, batches, f"{kinds}, score double, spans array<struct<start:long,length:long,score:double>>")
+    return docs.transform(in_arrow, batches, f"{kinds}, `{names[0]}` double, `{names[1]}` array<struct<start:long,length:long,score:double>>")

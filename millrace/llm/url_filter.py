@@ -7,7 +7,7 @@ narrow projection. Suffix statistics (how often URLs under a host's last label a
 all URLs in SUFFIXES hash buckets, a table of bounded size.
 
 Nulls: a null URL, or one without "://", has an empty host and path, fits no rule and is judged by the
-trees like any other. Repeated rows are judged each. Extra columns stay in `judge`. Without labels of both
+trees like any other. Repeated rows are judged each. Extra columns stay in `judge`, except for those with the new columns' names. Without labels of both
 kinds the trees say allow. An empty table gives an empty result.
 """
 
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ._common import ascii_lower, scratch
 
 SAMPLE, TREES, DEPTH, BINS, RATE, SUFFIXES = 20_000, 8, 3, 16, 0.4, 4096
+NEW = ("host", "path", "rule", "verdict", "margin")
 
 
 def host(url: Column) -> Column:
@@ -129,15 +130,15 @@ def judge(urls: DataFrame, rules: list[tuple[str, str, str]], sample: int = SAMP
     """urls with host, path, rule, margin (log-odds of block) and verdict."""
     h, p = host(F.col("url")), path(F.col("url"))
     rows = urls.withColumns({"host": h, "path": p})
-    labelled = rows.withColumn("label", rule_column(F.col("host"), F.col("path"), rules, lambda r: r[2]))
-    by_suffix = labelled.groupBy(suffix_bucket(F.col("host")).alias("__suffix")).agg(F.count("*").alias("n"), F.count_if(F.col("label") == "block").alias("b"), F.count_if(F.col("label") == "allow").alias("a"))
-    odds = scratch(by_suffix.select("__suffix", ((F.col("b") - F.col("a")) / (F.col("n") + 2)).alias("suffix_odds"), F.log1p("n").alias("suffix_rows")), "suffixes")  # at most SUFFIXES rows
+    labelled = rows.withColumn("__label", rule_column(F.col("host"), F.col("path"), rules, lambda r: r[2]))
+    by_suffix = labelled.groupBy(suffix_bucket(F.col("host")).alias("__suffix")).agg(F.count("*").alias("n"), F.count_if(F.col("__label") == "block").alias("b"), F.count_if(F.col("__label") == "allow").alias("a"))
+    odds = scratch(by_suffix.select("__suffix", ((F.col("b") - F.col("a")) / (F.col("n") + 2)).alias("__suffix_odds"), F.log1p("n").alias("__suffix_rows")), "suffixes")  # at most SUFFIXES rows
     features = lexical(F.col("url"), F.col("host"), F.col("path"))
-    names = [*(f"__{k}" for k in features), "suffix_odds", "suffix_rows"]
+    names = [*(f"__{k}" for k in features), "__suffix_odds", "__suffix_rows"]
     seen = labelled.withColumn("__suffix", suffix_bucket(F.col("host"))).join(F.broadcast(odds), "__suffix", "left")
     seen = seen.withColumns({f"__{k}": v for k, v in features.items()})
-    train = seen.where("label is not null").select(*names, (F.col("label") == "block").cast("double").alias("y"), F.xxhash64("url").alias("__order"))
+    train = seen.where("__label is not null").select(*names, (F.col("__label") == "block").cast("double").alias("y"), F.xxhash64("url").alias("__order"))
     model = grow(scratch(train.orderBy("__order").limit(sample).drop("__order"), "labelled-urls"), names)
     rule = rule_column(F.col("host"), F.col("path"), rules, lambda r: r[0] + r[1])
     out = seen.withColumn("margin", model.margin()).withColumn("rule", rule)
-    return out.withColumn("verdict", F.coalesce("label", F.when(F.col("margin") > 0, "block").otherwise("allow"))).select(*urls.columns, "host", "path", "rule", "verdict", "margin")
+    return out.withColumn("verdict", F.coalesce("__label", F.when(F.col("margin") > 0, "block").otherwise("allow"))).select(*(c for c in urls.columns if c not in NEW), *NEW)
