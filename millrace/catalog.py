@@ -520,3 +520,6 @@ def stream_daily_counts(spark: S, d: str) -> D:
 @query("SELECT event_type, round(sum(CASE WHEN nth = 1 THEN 1.0 ELSE 0.3 END * pow(0.7, age) * x), 6) AS ema, count(*) AS n FROM (SELECT event_type, CASE WHEN value > 50 THEN 1.0 ELSE 0.0 END AS x, count(*) OVER (PARTITION BY event_type) - row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS age, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS nth FROM events) AS t GROUP BY event_type")
 def stream_ema(spark: S, d: str) -> D:
     return ev.drain(ev.ema_state(ev.event_stream(spark, d)), "update")
+
+
+from . import catalog_results  # noqa: E402, F401
