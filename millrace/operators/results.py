@@ -88,7 +88,7 @@ def stage_times(log: DataFrame) -> DataFrame:
 
 def running_mean(log: DataFrame) -> DataFrame:
     w = Window.partitionBy("agent_id").orderBy("created_at", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return log.select("agent_id", "event_id", F.round(F.avg("execution_time").over(w) + 1e-9, 6).alias("mean")  # off the ties of rounding)
+    return log.select("agent_id", "event_id", F.round(F.avg("execution_time").over(w) + 1e-9, 6).alias("mean"))  # off the ties of rounding
 
 
 def tag_overlap(agents: DataFrame) -> DataFrame:
