@@ -21,12 +21,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that ten or more of them share; one that loses all its lines goes."""
-    kept = line_dedup.line_keep(docs, min_docs=10, min_chars=1)
+    """All documents; of the lines that ten or more of them share only the first stays, in order of doc_id, so that no
+    text leaves the corpus altogether. A document may end up empty; the next stage makes one of all such."""
+    kept = line_dedup.line_keep(docs, min_docs=10, min_chars=1, keep_first=True)
     text = F.when(F.size("__dropped") == 0, F.col("text")).otherwise(line_dedup.apply_keep(F.col("text"), F.col("__dropped")))
-    lines = F.size(line_dedup.lines_of(F.col("text")))
-    lost = F.aggregate("__dropped", F.lit(0), lambda a, r: a + r["length"])
-    return kept.where(lost < lines).withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).drop("__dropped")
+    changed = F.when(F.size("__dropped") == 0, F.col("n_chars")).otherwise(F.length(text))
+    return kept.withColumns({"text": text, "n_chars": changed.cast("long")}).drop("__dropped")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,6 +22,7 @@ from ._common import ascii_lower, identity, scratch
 
 STRIPPED = " \t\n\x0b\x0c\r"
 HOT = 2048
+PLACE = ("doc_id", "rid", "rid2", "pos")
 
 
 def lines_of(text):
@@ -29,13 +30,13 @@ def lines_of(text):
 
 
 def line_rows(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(rid, rid2, h1, h2, pos, first): a row for each line whose key is long enough; first marks a key's first line in its document."""
+    """(doc_id, rid, rid2, h1, h2, pos, first): a row for each line whose key is long enough; first marks a key's first line in its document."""
     key = lambda x: ascii_lower(F.btrim(x, F.lit(STRIPPED)))
     hashed = F.transform(lines_of(F.col("text")), lambda x, i: F.struct(key(x).alias("k"), i.alias("pos")))
     if min_chars > 0:
         hashed = F.filter(hashed, lambda x: F.length(x["k"]) >= min_chars)
     hashed = F.transform(hashed, lambda x: F.struct(F.xxhash64(x["k"]).alias("h1"), F.xxhash64(F.lit(1), x["k"]).alias("h2"), x["pos"].alias("pos")))
-    sorted_ = docs.select(*identity("doc_id", "text"), F.array_sort(hashed).alias("ls"))
+    sorted_ = docs.select("doc_id", *identity("doc_id", "text"), F.array_sort(hashed).alias("ls"))
     marked = F.transform(
         "ls",
         lambda x, i: F.struct(
@@ -45,7 +46,7 @@ def line_rows(docs: DataFrame, min_chars: int) -> DataFrame:
             F.when((i > 0) & (F.get("ls", i - 1)["h1"] == x["h1"]) & (F.get("ls", i - 1)["h2"] == x["h2"]), 0).otherwise(1).alias("first"),
         ),
     )
-    return sorted_.select("rid", "rid2", F.explode(marked).alias("l")).select("rid", "rid2", "l.*")
+    return sorted_.select("doc_id", "rid", "rid2", F.explode(marked).alias("l")).select("doc_id", "rid", "rid2", "l.*")
 
 
 def repeated_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False) -> DataFrame:
@@ -55,7 +56,7 @@ def repeated_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep
     position if keep_first.
     """
     lines = scratch(line_rows(docs, min_chars), "lines")
-    counts = lines.groupBy("h1", "h2").agg(F.sum("first").alias("df"), F.count("*").alias("n"), F.min(F.struct("rid", "rid2", "pos")).alias("lead"))
+    counts = lines.groupBy("h1", "h2").agg(F.sum("first").alias("df"), F.count("*").alias("n"), F.min(F.struct(*PLACE)).alias("lead"))
     total = lines.count()
     hot = scratch(counts.where(F.col("n") > F.lit(total) / HOT), "hot-lines")  # at most HOT rows
     key = ["h1", "h2"]
@@ -63,12 +64,12 @@ def repeated_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep
     streamed = (
         lines.join(F.broadcast(hot.select(*key)), key, "left_anti")
         .repartitionByRange(*key)
-        .sortWithinPartitions(*key, "rid", "rid2", "pos")
-        .withColumn("nth", F.row_number().over(w.orderBy("rid", "rid2", "pos")))
+        .sortWithinPartitions(*key, *PLACE)
+        .withColumn("nth", F.row_number().over(w.orderBy(*PLACE)))
         .withColumn("df", F.sum("first").over(w))
         .select("rid", "rid2", "pos", "df", (F.col("nth") == 1).alias("lead"))
     )
-    common = lines.join(F.broadcast(hot), key).select("rid", "rid2", "pos", "df", (F.struct("rid", "rid2", "pos") == F.col("lead")).alias("lead"))
+    common = lines.join(F.broadcast(hot), key).select("rid", "rid2", "pos", "df", (F.struct(*PLACE).eqNullSafe(F.col("lead"))).alias("lead"))
     out = streamed.unionByName(common).where(F.col("df") >= min_docs)
     if keep_first:
         out = out.where(~F.col("lead"))

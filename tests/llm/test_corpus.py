@@ -388,7 +388,9 @@ def test_pipeline(spark, tmp_path):
         seen.append({r.doc_id: r.text for r in docs.collect()})
     toxic = {i for i, _, t in labels if t}
     assert set(seen[0]) == {i for i, _ in rows} - toxic
-    assert not any("shared footer line" in (t or "") for t in seen[1].values()) and 305 not in seen[1]
+    assert set(seen[1]) == set(seen[0])
+    assert [i for i, t in seen[1].items() if "shared footer line" in (t or "")] == [min(i for i, t in seen[0].items() if "shared footer line" in (t or ""))]
+    assert seen[1][305] == "" and not {304, 305} & set(seen[2])
     assert {300, 301} & set(seen[2]) == set() and 1 in seen[2]
     assert set(seen[2]) - set(seen[3]) == {302}
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
