@@ -7,8 +7,8 @@ evidence matched, word length, transitions between neighbours) is then trained o
 each token's own document left out of its odds. Scoring runs forward-backward over each sentence of the
 whole text; the marginals give the offending offsets, the largest of them the document's score.
 
-The fit sees at most MAX_ROWS labelled rows of each class and LEXICON word forms (parameters); scoring sees
-all rows. Nulls: a null text is empty and gets the score 0.0; a null doc_id counts as held out. Labels that
+The fit sees at most MAX_ROWS labelled rows of each class, LEXICON word forms and WINDOWS training windows;
+scoring sees all rows. Nulls: a null text is empty and gets the score 0.0; a null doc_id counts as held out. Labels that
 are null are ignored, repeated ones count as their maximum. Without labels of both classes all scores are 0.
 Repeated rows are scored each; extra columns stay in `score`, except for those with the new columns' names.
 """
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ._common import in_arrow, scratch, text_buffers, words
 
-MAX_ROWS, LEXICON, WINDOW = 16_384, 65_536, 24
+MAX_ROWS, LEXICON, WINDOW, WINDOWS = 16_384, 65_536, 24, 8192
 BEGINNINGS = (4, 5, 6)
 BINS = np.array([0.5, 1.5, 2.5, 3.25, 4.0, 4.75, 5.5, 6.25, 7.0, 8.0])
 ENDERS = np.zeros(256, dtype=bool)
@@ -128,8 +128,8 @@ def train(windows: list[tuple[np.ndarray, np.ndarray]], rounds: int = 150, rate:
         emit[0] = -20.0
         return emit, move
     rows = len(windows)
-    x = np.zeros((rows, wide, 4), np.int64)
-    y = np.zeros((rows, wide), np.int64)
+    x = np.zeros((rows, wide, 4), np.int8)
+    y = np.zeros((rows, wide), np.int8)
     mask = np.zeros((rows, wide))
     for i, (f, labels) in enumerate(windows):
         x[i, : len(labels)], y[i, : len(labels)], mask[i, : len(labels)] = f, labels, 1
@@ -236,10 +236,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, lexicon: i
         return model
     forms = rows.transform(in_arrow, _counts, "form long, toxic long, clean long").groupBy("form").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     odds = F.log((F.col("toxic") + 0.5) / (model.totals[0] + 1)) - F.log((F.col("clean") + 0.5) / (model.totals[1] + 1))
-    got = forms.where((F.col("toxic") >= 2) & (odds >= float(BINS[0]))).orderBy(odds.desc(), "form").limit(lexicon).toPandas()
-    h = got["form"].to_numpy(np.int64).view(np.uint64)
+    got = forms.where((F.col("toxic") >= 2) & (odds >= float(BINS[0]))).orderBy(odds.desc(), "form").limit(lexicon).toLocalIterator()
+    table = np.fromiter((x for r in got for x in r), np.int64).reshape(-1, 3)
+    h = np.ascontiguousarray(table[:, 0]).view(np.uint64)
     order = np.argsort(h)
-    model.hashes, model.toxic, model.clean = h[order], got["toxic"].to_numpy(np.int64)[order], got["clean"].to_numpy(np.int64)[order]
+    model.hashes, model.toxic, model.clean = h[order], table[order, 1], table[order, 2]
     tables = docs.sparkSession.sparkContext.broadcast(model)
 
     def windows(it):
@@ -265,8 +266,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, lexicon: i
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in out], pa.binary()), pa.array([k[1] for k in out], pa.binary())], names=["x", "y"])
 
-    got = rows.transform(in_arrow, windows, "x binary, y binary").orderBy(F.xxhash64("x", "y")).limit(max_rows).collect()
-    model.emit, model.move = train([(np.frombuffer(bytes(a), np.int8).reshape(-1, 4).astype(np.int64), np.frombuffer(bytes(y), np.int8).astype(np.int64)) for a, y in got])
+    got = rows.transform(in_arrow, windows, "x binary, y binary").orderBy(F.xxhash64("x", "y")).limit(WINDOWS).toLocalIterator()
+    model.emit, model.move = train([(np.frombuffer(bytes(a), np.int8).reshape(-1, 4), np.frombuffer(bytes(y), np.int8)) for a, y in got])
     return model
 
 
