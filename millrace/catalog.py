@@ -522,4 +522,4 @@ def stream_ema(spark: S, d: str) -> D:
     return ev.drain(ev.ema_state(ev.event_stream(spark, d)), "update")
 
 
-from . import catalog_results  # noqa: E402, F401
+from . import catalog_matching, catalog_results  # noqa: E402, F401

@@ -41,3 +41,16 @@ def transform_by_type(source: Column, target: Column, data: Column) -> Column:
 def event_line(columns: list[str]) -> Column:
     """A row as a server-sent event."""
     return F.concat(F.lit("data: "), F.to_json(F.struct(*columns)), F.lit("\n\n"))
+
+
+#: Keys that tell the type of a result, in order.
+TYPE_KEYS = [("visualization", ["chart", "graph", "plot", "visualization"]), ("calculation", ["calculation", "math", "number", "result"]), ("analysis", ["analysis", "insights", "conclusion"]), ("comparison", ["comparison", "vs", "versus", "diff"]), ("information", ["information", "data", "facts"])]
+
+
+def result_type(json: Column) -> Column:
+    """The type of a JSON object by its keys."""
+    keys = F.coalesce(F.json_object_keys(json), F.array().cast("array<string>"))
+    out = F.lit("general")
+    for name, words in reversed(TYPE_KEYS):
+        out = F.when(F.arrays_overlap(keys, F.array(*map(F.lit, words))), name).otherwise(out)
+    return out

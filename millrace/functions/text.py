@@ -110,3 +110,14 @@ def uptime(seconds: Column) -> Column:
     s = seconds.cast("long")
     d, h, m, r = F.floor(s / 86400), F.floor(s % 86400 / 3600), F.floor(s % 3600 / 60), s % 60
     return F.when(d > 0, F.format_string("%dd %dh %dm", d, h, m)).when(h > 0, F.format_string("%dh %dm %ds", h, m, r)).when(m > 0, F.format_string("%dm %ds", m, r)).otherwise(F.format_string("%ds", r))
+
+
+def language_share(text: Column) -> Column:
+    """Korean if at least three tenths of the letters are Hangul; no letters count as English."""
+    ko, latin = F.regexp_count(text, F.lit("[가-힣]")), F.regexp_count(text, F.lit("[a-zA-Z]"))
+    return F.when(F.coalesce(F.try_divide(ko.cast("double"), ko + latin), F.lit(0.0)) >= 0.3, "ko").otherwise("en")
+
+
+def task_strategy(n_tasks: Column, has_dependencies: Column) -> Column:
+    """Single, sequential, parallel or hybrid by the number of tasks and their dependencies."""
+    return F.when(n_tasks <= 1, "single").when(has_dependencies, "sequential").when(n_tasks <= 3, "parallel").otherwise("hybrid")
