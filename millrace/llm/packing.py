@@ -28,7 +28,7 @@ from ._common import byte_values, in_arrow, pieces_of, scratch, spans_hash, text
 
 CAPACITY, END_ID = 1024, 2
 #: Units whose ids a worker remembers; beyond, it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 1_000_000
 
 
 class Encoder:
@@ -88,7 +88,10 @@ class Encoder:
             b = buf[base:end]
             hi = np.array([g[2] for g in group], dtype=np.int64) - base
             lo = lo - base
-            starts = np.unique(np.concatenate([lo[hi > lo], self.breaks(b)])) if len(b) else np.zeros(0, np.int64)
+            begin = np.zeros(len(b), bool)
+            begin[lo[hi > lo]] = True
+            begin[self.breaks(b)] = True
+            starts = np.flatnonzero(begin)
             ends = np.append(starts[1:], len(b)) if len(starts) else starts
             code = self.learn(b, starts, ends)
             lens = self.off[code + 1] - self.off[code]
@@ -114,7 +117,7 @@ class Encoder:
         if len(new):
             raw = b.tobytes()
             units = [raw[s:e].decode("utf-8", "replace") for s, e in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
-            got = [x.ids for x in self.tokenizer.encode_batch(units, add_special_tokens=False)]
+            got = [x.ids for x in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
             at = len(self.off) - 1
             self.off = np.concatenate([self.off, self.off[-1] + np.cumsum([len(x) for x in got])])
             self.ids = np.concatenate([self.ids, np.fromiter((i for x in got for i in x), dtype=np.uint32)])
