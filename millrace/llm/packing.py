@@ -19,7 +19,6 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -105,8 +104,10 @@ class Encoder:
     def learn(self, b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         if not len(starts):
             return np.zeros(0, np.int64)
+        from pandas import factorize  # on the workers only
+
         h = spans_hash(b, starts, ends, self.values)[0].view(np.int64)
-        code, uniq = pd.factorize(h)
+        code, uniq = factorize(h)
         first = np.empty(len(uniq), np.int64)
         first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
         if len(self.known) > REMEMBERED:
