@@ -108,6 +108,8 @@ def blocks(page: str | None) -> list[tuple[str, str]]:
         tag = m[2].lower()
         if tag in BLOCKS or tag in RAW:
             flush()
+            if not m[1] and tag != "br" and stack and stack[-1][0] == "p":  # a new block ends an open paragraph
+                role = stack.pop()[1]
         if m[1]:
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
             if depth is not None:
