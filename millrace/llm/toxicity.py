@@ -5,7 +5,8 @@ and word beginnings get the log-odds of occurring in toxic rather than clean doc
 the tokens with the highest odds are the toxic ones. A two-state CRF (bins of those odds, how the best
 evidence matched, word length, transitions between neighbours) is then trained on windows of such tokens,
 each token's own document left out of its odds. Scoring runs forward-backward over each sentence of the
-whole text; the marginals give the offending offsets, the largest of them the document's score.
+whole text; the marginals give the offending offsets, the largest of them, calibrated on the documents of the
+sample, the document's score.
 
 The fit sees at most MAX_ROWS labelled rows of each class, LEXICON word forms and WINDOWS training windows;
 scoring sees all rows. Nulls: a null text is empty and gets the score 0.0; a null doc_id counts as held out. Labels that
@@ -45,6 +46,7 @@ class Crf:
     totals: tuple[int, int]
     emit: np.ndarray | None = None
     move: np.ndarray | None = None  # log weights of start and of the four moves
+    scale: tuple[float, float] = (1.0, 0.0)  # a document's log-odds from those of its largest marginal
 
     def odds(self, toxic, clean):
         return np.log((toxic + 0.5) / (self.totals[0] + 1)) - np.log((clean + 0.5) / (self.totals[1] + 1))
@@ -81,6 +83,33 @@ class Crf:
     def score(self, feats: np.ndarray) -> np.ndarray:
         return self.emit[feats].sum(axis=1)
 
+    def of_document(self, top: np.ndarray) -> np.ndarray:
+        """Scores of documents from their largest marginals; no marginal at all gives 0."""
+        a, b = self.scale
+        return np.where(top > 0, 1 / (1 + np.exp(-np.clip(a * logit(top) + b, -40, 40))), 0.0)
+
+
+def logit(p: np.ndarray) -> np.ndarray:
+    p = np.clip(p, 1e-12, 1 - 1e-12)
+    return np.log(p) - np.log1p(-p)
+
+
+def calibrate(top: np.ndarray, label: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of a logistic fit of document labels on the logits of their largest marginals.
+
+    Of the many words of a document one is bound to look bad, the more so the fewer labels there are; the
+    marginals, each token's own document left out, show how far. A small penalty holds the fit near (1, 0).
+    """
+    x, w = np.stack([logit(top), np.ones(len(top))], axis=1), np.array([1.0, 0.0])
+    loss = lambda w: np.logaddexp(0, np.where(label > 0, -1, 1) * (x @ w)).sum() + 0.5 * ((w - (1.0, 0.0)) ** 2).sum()
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
+        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + np.eye(2), x.T @ (p - label) + w - (1.0, 0.0))
+        while loss(w - step) > loss(w) and np.abs(step).max() > 1e-6:
+            step = step / 2
+        w = w - step
+    return (float(w[0]), float(w[1])) if w[0] > 0.05 and np.isfinite(w).all() else (1.0, 0.0)
+
 
 N_FEATURES = 1 + (len(BINS) + 1) + (len(BEGINNINGS) + 2) + 4
 
@@ -259,15 +288,21 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, lexicon: i
                     top = a + int(best[a:z].argmax())
                     bar = max(best[top] - 1.0, BINS[3]) if label[r[a]] == 1 else np.inf
                     y = (best[a:z] >= bar).astype(np.int8)
-                    for mid in {top, a + (top - a + (z - a) // 2) % (z - a)}:
+                    for mid in dict.fromkeys((top, a + (top - a + (z - a) // 2) % (z - a))):
                         lo = max(a, mid - WINDOW // 2)
                         hi = min(z, lo + WINDOW)
-                        out.append((x[lo:hi].astype(np.int8).tobytes(), y[lo - a : hi - a].tobytes()))
+                        out.append((x[lo:hi].astype(np.int8).tobytes(), y[lo - a : hi - a].tobytes(), int(label[r[a]]) if mid == top else -1))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in out], pa.binary()), pa.array([k[1] for k in out], pa.binary())], names=["x", "y"])
-
-    got = rows.transform(in_arrow, windows, "x binary, y binary").orderBy(F.xxhash64("x", "y")).limit(WINDOWS).toLocalIterator()
-    model.emit, model.move = train([(np.frombuffer(bytes(a), np.int8).reshape(-1, 4), np.frombuffer(bytes(y), np.int8)) for a, y in got])
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in out], pa.binary()), pa.array([k[1] for k in out], pa.binary()), pa.array([k[2] for k in out], pa.int32())], names=["x", "y", "doc"])
+
+    got = rows.transform(in_arrow, windows, "x binary, y binary, doc int").orderBy(F.xxhash64("x", "y")).limit(WINDOWS).toLocalIterator()
+    kept = [(np.frombuffer(bytes(a), np.int8).reshape(-1, 4), np.frombuffer(bytes(y), np.int8), doc) for a, y, doc in got]
+    model.emit, model.move = train([k[:2] for k in kept])
+    best = [k for k in kept if k[2] >= 0]
+    lens = np.array([len(k[0]) for k in best])
+    starts = np.cumsum(lens) - lens
+    p = marginals(model.score(np.concatenate([k[0] for k in best])), starts, lens, model.move)
+    model.scale = calibrate(np.maximum.reduceat(p, starts), np.array([k[2] for k in best], float))
     return model
 
 
@@ -305,7 +340,7 @@ def score(docs: DataFrame, model: Crf, bar: float = 0.5, names: tuple[str, str]
                 points = np.concatenate([[0], np.cumsum((buf[int(offsets[row]) : int(offsets[row + 1])] & 0xC0) != 0x80)])
                 found.append([{"start": int(points[s]), "length": int(points[e] - points[s]), "score": x} for s, e, x in spans[row]])
             kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("score", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.clip(top, 0.0, 1.0)), pa.array(found, kind)], names=[*kept, *names])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(crf.of_document(top)), pa.array(found, kind)], names=[*kept, *names])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.transform(in_arrow, batches, f"{kinds}, `{names[0]}` double, `{names[1]}` array<struct<start:long,length:long,score:double>>")
