@@ -1,7 +1,6 @@
 """The corpus operators against brute force, on small tables with nulls, empty and long texts, ties and repeats."""
 
 import collections
-import hashlib
 import html
 import random
 import re
