@@ -1,7 +1,8 @@
 """Embedding near-duplicates by a pivot-permutation index.
 
-PIVOTS vectors of a bounded sample are the reference points. Each vector is described by its NEAREST nearest
-pivots; inverted lists hold the vectors under each pair of those pivots, so vectors that meet share two
+The reference points are up to PIVOTS vectors of a bounded sample, each the farthest from those before it, until
+all of the sample is within cosine APART of one: a dense group holds few pivots, so its members see the same ones.
+Each vector is described by its NEAREST nearest pivots; inverted lists hold the vectors under each pair of those pivots, so vectors that meet share two
 pivots at least. Pairs that meet are verified by cosine in double precision; a pair that several lists bring
 together counts in the list of its two smallest shared pivots only.
 
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from ._common import components, in_arrow, scratch
 
 PIVOTS, NEAREST, BUCKET = 1024, 6, 512
+#: Vectors sampled for each pivot; the cosine that no two pivots reach; rows of a list that is compared as a matrix.
+SAMPLE, APART, MATRIX = 4, 0.8, 33
 
 
 def classes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -70,6 +73,48 @@ def _unit(col: pa.Array, width: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def farthest_first(sample: np.ndarray, most: int) -> np.ndarray:
+    """Up to `most` of the unit vectors, each the farthest from those before it and below cosine APART to them all."""
+    near, chosen, at = np.full(len(sample), -np.inf), [], 0
+    while len(chosen) < most:
+        chosen.append(at)
+        near = np.maximum(near, sample @ sample[at])
+        at = int(near.argmin())
+        if near[at] >= APART:
+            break
+    return sample[chosen]
+
+
+def _told(cid: np.ndarray, n: np.ndarray, p: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
+    """(src, dst, links) of the vectors that the links p, q reach: how many, and the root of each."""
+    links = np.bincount(p, weights=n[q], minlength=len(cid)) + np.bincount(q, weights=n[p], minlength=len(cid))
+    root = np.arange(len(cid))
+    while True:
+        low = root.copy()
+        np.minimum.at(low, p, root[q])
+        np.minimum.at(low, q, root[p])
+        low = low[low]
+        if (low == root).all():
+            break
+        root = low
+    some = links > 0
+    return pa.RecordBatch.from_arrays([pa.array(cid[some]), pa.array(cid[root[some]]), pa.array(links[some].astype(np.int64))], names=["src", "dst", "links"])
+
+
+def _pairs(u: np.ndarray, near: np.ndarray, side: np.ndarray | None, key: int, n_pivots: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """The links among the vectors of one list, or across its sides, whose two smallest shared pivots are the list's."""
+    p, q = divmod(key, n_pivots)
+    row, col = np.nonzero((near < q) & (near != p))
+    names, at = np.unique(near[row, col], return_inverse=True)
+    less = np.zeros((len(u), max(1, len(names))), np.float32)
+    less[row, at] = 1
+    a = np.arange(len(u)) if side is None else np.flatnonzero(side == 0)
+    b = a if side is None else np.flatnonzero(side == 1)
+    hit = (u[a] @ u[b].T >= cosine) & (less[a] @ less[b].T == 0)
+    i, j = np.nonzero(np.triu(hit, 1) if side is None else hit)
+    return a[i], b[j]
+
+
 def verify(listed: DataFrame, width: int, nearest: int, n_pivots: int, cosine: float) -> DataFrame:
     """(src, dst, links): for the vectors of each sorted run of lists, links found there and a vector each reaches."""
 
@@ -94,6 +139,15 @@ def verify(listed: DataFrame, width: int, nearest: int, n_pivots: int, cosine: f
             near = np.frombuffer(b"".join(t.column("near").to_pylist()), "<u2").reshape(-1, nearest)
             group = np.cumsum(np.concatenate([[True], (lists[1:] != lists[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
             side = t.column("side").to_numpy()
+            size = np.bincount(group)
+            end = np.cumsum(size)
+            for g in np.flatnonzero(size >= MATRIX):
+                at = slice(int(end[g] - size[g]), int(end[g]))
+                i, j = _pairs(u[at], near[at], None if a[at.start] == b[at.start] else side[at], int(lists[at.start]), n_pivots, cosine)
+                if len(i):
+                    yield _told(cid[at], n[at], i, j)
+            few = size[group] < MATRIX
+            cid, lists, a, b, n, u, near, group, side = (x[few] for x in (cid, lists, a, b, n, u, near, group, side))
             left, right = [], []
             d = 1
             while d < len(group):
@@ -117,17 +171,9 @@ def verify(listed: DataFrame, width: int, nearest: int, n_pivots: int, cosine: f
                 continue
             ids, at = np.unique(np.concatenate([cid[i], cid[j]]), return_inverse=True)
             p, q = at[: len(i)], at[len(i) :]
-            links = np.bincount(p, weights=n[j], minlength=len(ids)) + np.bincount(q, weights=n[i], minlength=len(ids))
-            root = np.arange(len(ids))
-            while True:
-                low = root.copy()
-                np.minimum.at(low, p, root[q])
-                np.minimum.at(low, q, root[p])
-                low = low[low]
-                if (low == root).all():
-                    break
-                root = low
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[root]), pa.array(links.astype(np.int64))], names=["src", "dst", "links"])
+            weight = np.zeros(len(ids), np.int64)
+            weight[p], weight[q] = n[i], n[j]
+            yield _told(ids, weight, p, q)
 
     sizes = scratch(listed.groupBy("list").agg(F.count("*").alias("rows")).where(F.col("rows") > BUCKET), "long-lists")
     chunks = F.ceil(F.coalesce("rows", F.lit(1)) / BUCKET).cast("int")
@@ -141,11 +187,11 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, pivots: int = PIVOTS,
     """(vec_id, n_links, component_id, kept) for every row."""
     rows, distinct = classes_of(vectors)
     rows, distinct = scratch(rows, "vectors"), scratch(distinct, "distinct")
-    got = distinct.orderBy(F.xxhash64("h2"), "h1").limit(pivots).select("e").collect()  # at most PIVOTS vectors
+    got = distinct.orderBy(F.xxhash64("h2"), "h1").limit(SAMPLE * pivots).select("e").toArrow().column("e")  # at most SAMPLE * PIVOTS vectors
     sums = roots = None
-    if got:
-        points = np.array([r[0] for r in got])
-        points /= np.linalg.norm(points, axis=1, keepdims=True)
+    if len(got):
+        got = got.combine_chunks()
+        points = farthest_first(_unit(got, len(got[0])), pivots)
         nearest = min(nearest, len(points))
         if nearest < 2:
             points, nearest = np.concatenate([points, -points]), 2

@@ -285,6 +285,25 @@ def test_long_lists_lose_no_link(spark, monkeypatch):
     assert sum(r.n_links for r in out) >= 0.5 * 60 * 59 and len({r.component_id for r in out}) <= 3
 
 
+def jittered(n, share, cosine, g):
+    """n unit vectors of 64 components, a share of them in one group of that mean cosine, in random order."""
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    k = int(n * share)
+    group = unit(g.normal(size=(1, 64))) + unit(g.normal(size=(k, 64))) * np.sqrt(1 / cosine - 1)
+    return g.permutation(unit(np.concatenate([g.normal(size=(n - k, 64)), group])))
+
+
+@pytest.mark.parametrize("cosine, bucket", [(0.96, 512), (0.92, 100)])
+def test_a_dense_group_keeps_its_links(spark, monkeypatch, cosine, bucket):
+    monkeypatch.setattr(embedding_dedup, "BUCKET", bucket)
+    u = jittered(1500, 1 / 3, cosine, np.random.default_rng(6))
+    out = {r.vec_id: r for r in embedding_dedup.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(u)], "vec_id long, embedding array<double>")).collect()}
+    want = (u @ u.T >= 0.9).sum(axis=1) - 1
+    got = np.array([out[i].n_links for i in range(len(u))])
+    assert (got <= want).all() and got.sum() >= 0.9 * want.sum()
+    assert len({out[int(i)].component_id for i in np.flatnonzero(want)}) == 1
+
+
 def test_suffix_dedup(docs, empty):
     ws = {}
     for r in docs.collect():
