@@ -53,7 +53,7 @@ def repeated_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep
     """(rid, rid2, dropped): ranges [start, length] of the lines to drop, for documents that lose any.
 
     A key in min_docs documents or more loses all its lines, or all but the first in order of document and
-    position if keep_first.
+    position if keep_first; rows that repeat doc_id and text are first together, as they share a bitmap.
     """
     lines = scratch(line_rows(docs, min_chars), "lines")
     counts = lines.groupBy("h1", "h2").agg(F.sum("first").alias("df"), F.count("*").alias("n"), F.min(F.struct(*PLACE)).alias("lead"))
@@ -65,9 +65,9 @@ def repeated_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep
         lines.join(F.broadcast(hot.select(*key)), key, "left_anti")
         .repartitionByRange(*key)
         .sortWithinPartitions(*key, *PLACE)
-        .withColumn("nth", F.row_number().over(w.orderBy(*PLACE)))
         .withColumn("df", F.sum("first").over(w))
-        .select("rid", "rid2", "pos", "df", (F.col("nth") == 1).alias("lead"))
+        .withColumn("least", F.min(F.struct(*PLACE)).over(w))
+        .select("rid", "rid2", "pos", "df", F.struct(*PLACE).eqNullSafe(F.col("least")).alias("lead"))
     )
     common = lines.join(F.broadcast(hot), key).select("rid", "rid2", "pos", "df", (F.struct(*PLACE).eqNullSafe(F.col("lead"))).alias("lead"))
     out = streamed.unionByName(common).where(F.col("df") >= min_docs)

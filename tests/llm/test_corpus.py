@@ -90,6 +90,15 @@ def test_line_dedup_keeps_the_first(docs):
     assert sum(line_key(x) == "common line" for r in out for x in r.t.split("\n")) == 1
 
 
+@pytest.mark.parametrize("hot", [1, 2048])
+def test_repeated_rows_keep_their_first_line(spark, monkeypatch, hot):
+    monkeypatch.setattr(line_dedup, "HOT", hot)  # 1: all keys are streamed; 2048: all are broadcast
+    rows = [(7, "one line\nits own")] * 12 + [(None, "null id")] * 11 + [(8, "one line\nother"), (9, "null id")]
+    kept = line_dedup.line_keep(spark.createDataFrame(rows, "doc_id long, text string"), 10, 1, keep_first=True)
+    got = collections.Counter(tuple(r) for r in kept.select("doc_id", line_dedup.apply_keep(F.col("text"), F.col("__dropped"))).collect())
+    assert got == {(7, "one line\nits own"): 12, (None, "null id"): 11, (8, "other"): 1, (9, ""): 1}
+
+
 def brute_fingerprint(text, k):
     import xxhash
 
