@@ -30,8 +30,9 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest doc_id, of each group linked by fingerprints of five-word shingles."""
-    return simhash.drop_near_copies(docs, shingle=5, most=3)
+    """One document, the one with the smallest doc_id, of each group linked by fingerprints of five-word shingles or by 0.8 Jaccard
+    similarity of the shingles themselves."""
+    return simhash.drop_near_copies(docs, shingle=5, most=3, jaccard=0.8)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,13 @@ at 16 ring positions under its 20 bits that must agree; as the next 20 bits diff
 half of them agrees too and lengthens the key to 30 bits. Pairs that meet pass the chain budgets, then the
 full Hamming check, inside the join: only links leave it. Equal fingerprints are one before all that.
 
+Fingerprints of texts at 0.8 Jaccard differ in 7 to 10 bits on average, too many for any list of agreeing bits.
+So `alike` brings texts together by BANDS bands of BAND min-hashes of their shingles (one band at least for 0.9996 of
+the pairs at 0.8) and checks the exact Jaccard similarity of the shingle sets. Texts that share a band are first
+compared with the band's first and the one before; then, where that left them in different components, with the
+NEIGHBOURS before them in an order of its own for each band. Up to NEIGHBOURS + 1 texts in a band are thus all
+compared, and larger groups cost time in proportion to their size.
+
 Nulls: a null text is empty; a text without words has the fingerprint 0 and is linked like any other. A null
 doc_id keeps its row, never names a component while another id is there, and else gives null. Repeated rows
 stay repeated. Extra columns are ignored by `fingerprints`, kept by `drop_near_copies`. Empty tables give
@@ -18,41 +25,76 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import components, identity, in_arrow, scratch
 
 SEGMENTS, WIDTH, MOST = 16, 4, 3
 BLOCK = 1 << 16
+BANDS, BAND, NEIGHBOURS = 20, 5, 16
 
 
-def fingerprint(text: str | None, shingle: int) -> int:
-    """Bit i is set if it is set in over half of the shingles' hashes; repeats count."""
+def hashes(text: str | None, shingle: int):
+    """Yields blocks of XXH64 hashes of the text's word shingles, repeats included; a shorter text is one shingle."""
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not w:
-        return 0
+        return
     if len(w) < shingle:
         grams, n = iter([b" ".join(w)]), 1
     else:
         grams, n = map(b" ".join, zip(*(w[i:] for i in range(shingle)), strict=False)), len(w) - shingle + 1
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(64, dtype=np.int64)
+    digest = xxhash.xxh64_intdigest
     for at in range(0, n, BLOCK):
-        h = np.fromiter((digest(g, 42) for g, _ in zip(grams, range(min(BLOCK, n - at)), strict=False)), dtype=np.uint64, count=min(BLOCK, n - at))
+        size = min(BLOCK, n - at)
+        yield np.fromiter((digest(g, 42) for g, _ in zip(grams, range(size), strict=False)), dtype=np.uint64, count=size)
+
+
+def fingerprint(blocks) -> int:
+    """Bit i is set if it is set in over half of the shingles' hashes; repeats count."""
+    n, ones = 0, np.zeros(64, dtype=np.int64)
+    for h in blocks:
+        n += len(h)
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """(doc_id, rid, rid2, fp): a signed 64-bit fingerprint of each whole text; rid and rid2 identify doc_id and text."""
+def bands(blocks) -> list[int]:
+    """A hash of each band of min-hashes; none for a text without words."""
+    least = None
+    odd = np.random.default_rng(20240611).integers(1, 2**63, BANDS * BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    for h in blocks:
+        for part in np.array_split(h, len(h) // 4096 + 1):
+            x = part[:, None] * odd
+            low = (x ^ (x >> np.uint64(29))).min(axis=0)
+            least = low if least is None else np.minimum(least, low)
+    if least is None:
+        return []
+    b = (least * odd[::-1]).reshape(BANDS, BAND).sum(axis=1, dtype=np.uint64)
+    return (b ^ (b >> np.uint64(31))).view(np.int64).tolist()
+
+
+def fingerprints(docs: DataFrame, shingle: int = 5, banded: bool = False) -> DataFrame:
+    """(doc_id, rid, rid2, fp): a signed 64-bit fingerprint of each whole text; rid and rid2 identify doc_id and text.
+
+    If banded, also digest, a hash of all shingles with their repeats, and bands.
+    """
 
     def batches(it):
         for b in it:
-            fp = pa.array([fingerprint(x.as_py(), shingle) for x in b.column(3)], type=pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), fp], names=["doc_id", "rid", "rid2", "fp"])
+            fps, digests, found = [], [], []
+            for x in b.column(3):
+                blocks = list(hashes(x.as_py(), shingle))
+                fps.append(fingerprint(blocks))
+                if banded:
+                    digests.append(int(sum((h.sum(dtype=np.uint64) for h in blocks), np.uint64(0)).view(np.int64)))
+                    found.append(bands(blocks))
+            more = [pa.array(digests, pa.int64()), pa.array(found, pa.list_(pa.int64()))] if banded else []
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(fps, pa.int64()), *more], names=["doc_id", "rid", "rid2", "fp", "digest", "bands"][: 4 + len(more)])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", *identity("doc_id", "text"), "text").transform(in_arrow, batches, f"doc_id {kind}, rid long, rid2 long, fp long")
+    more = ", digest long, bands array<long>" if banded else ""
+    return docs.select("doc_id", *identity("doc_id", "text"), "text").transform(in_arrow, batches, f"doc_id {kind}, rid long, rid2 long, fp long{more}")
 
 
 def _signed(x: int) -> int:
@@ -92,11 +134,65 @@ def links(fps: DataFrame, most: int = MOST) -> DataFrame:
     return a.join(b, met & (first == F.col("a.k")) & (F.bit_count(x) <= most)).select(F.col("a.fp").alias("src"), F.col("b.fp").alias("dst"))
 
 
-def near_copies(docs: DataFrame, shingle: int = 5, most: int = MOST) -> DataFrame:
-    """(doc_id, rid, rid2, fp, root, component_id): root is the component's fingerprint, component_id is the smallest doc_id that links reach."""
-    rows = scratch(fingerprints(docs, shingle), "fingerprints")
+def _shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(rid, grams): the distinct shingles of the wanted texts, as hashes."""
+
+    def batches(it):
+        for b in it:
+            sets = [np.unique(np.concatenate(list(hashes(x.as_py(), shingle)))).view(np.int64) for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["rid", "grams"])
+
+    texts = docs.select(identity("doc_id", "text")[0], "text").join(wanted, "rid", "left_semi").dropDuplicates(["rid"])
+    return texts.transform(in_arrow, batches, "rid long, grams array<long>")
+
+
+def _check(pairs: DataFrame, docs: DataFrame, shingle: int, jaccard: float) -> DataFrame:
+    """(src, dst): fingerprints of the pairs (rid, fp, other, ofp) of texts whose shingle sets are that similar."""
+    pairs = pairs.select(F.least("rid", "other").alias("rid"), F.greatest("rid", "other").alias("other"), F.least("fp", "ofp").alias("src"), F.greatest("fp", "ofp").alias("dst"))
+    pairs = scratch(pairs.groupBy("rid", "other").agg(F.first("src").alias("src"), F.first("dst").alias("dst")), "pairs")
+    sets = scratch(_shingle_sets(docs, pairs.select(F.explode(F.array("rid", "other")).alias("rid")).distinct(), shingle), "sets")
+    both = pairs.join(sets, "rid").join(sets.select(F.col("rid").alias("other"), F.col("grams").alias("others")), "other")
+    a, b = F.size("grams"), F.size("others")
+    both = both.where(F.least(a, b) >= jaccard * F.greatest(a, b))
+    common = F.size(F.array_intersect("grams", "others"))
+    return scratch(both.where(common >= jaccard * (a + b - common)).select("src", "dst").distinct(), "alike")
+
+
+def alike(rows: DataFrame, docs: DataFrame, shingle: int, jaccard: float, known: DataFrame) -> DataFrame:
+    """known, links (src, dst) of fingerprints, and those of the texts with at least that Jaccard similarity of shingles.
+
+    Texts that are in one component anyway need not be linked to each other.
+    """
+    texts = rows.where(F.size("bands") > 0).groupBy("fp", "digest").agg(F.min("rid").alias("rid"), F.first("bands").alias("bands"))
+    listed = scratch(texts.select("rid", "fp", F.posexplode("bands").alias("k", "part")), "bands")
+    shared = listed.groupBy("k", "part").agg(F.count("*").alias("n")).where("n > 1").select("k", "part")
+    listed = scratch(listed.join(shared, ["k", "part"]), "shared-bands")
+
+    def met(w, *others):
+        o = listed.withColumn("o", F.array(*(x.over(w) for x in others))).withColumn("o", F.explode("o")).where("o is not null")
+        return o.select("rid", "fp", F.col("o.rid").alias("other"), F.col("o.fp").alias("ofp")).where("fp <> ofp")
+
+    me = F.struct("rid", "fp")
+    found = known.unionByName(_check(met(Window.partitionBy("k", "part").orderBy("rid"), F.first(me), F.lag(me, 1)), docs, shingle, jaccard))
+    found = scratch(found, "found")
+    root = components(found, "alike").select(F.col("id").alias("fp"), F.col("component").alias("root"))
+    pairs = met(Window.partitionBy("k", "part").orderBy(F.xxhash64("k", "rid"), "rid"), *(F.lag(me, i) for i in range(1, NEIGHBOURS + 1)))
+    pairs = scratch(pairs.distinct(), "neighbours").join(root, "fp", "left").join(root.select(F.col("fp").alias("ofp"), F.col("root").alias("oroot")), "ofp", "left")
+    pairs = pairs.where(F.coalesce("root", "fp") != F.coalesce("oroot", "ofp"))
+    return found.unionByName(_check(pairs.select("rid", "fp", "other", "ofp"), docs, shingle, jaccard))
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, most: int = MOST, jaccard: float | None = None) -> DataFrame:
+    """(doc_id, rid, rid2, fp, root, component_id): root is the component's fingerprint, component_id is the smallest doc_id that links reach.
+
+    With jaccard, texts whose shingle sets are that similar are linked too, however many bits they differ in.
+    """
+    rows = scratch(fingerprints(docs, shingle, banded=jaccard is not None), "fingerprints")
     classes = scratch(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    found = components(links(classes.select("fp"), most), "simhash").select(F.col("id").alias("fp"), F.col("component").alias("root"))
+    edges = links(classes.select("fp"), most)
+    if jaccard is not None:
+        edges = alike(rows, docs, shingle, jaccard, scratch(edges, "ring-links"))
+    found = components(edges, "simhash").select(F.col("id").alias("fp"), F.col("component").alias("root"))
     rooted = classes.join(found, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = scratch(rooted, "rooted")
     named = scratch(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "named")
@@ -104,9 +200,9 @@ def near_copies(docs: DataFrame, shingle: int = 5, most: int = MOST) -> DataFram
     return rows.join(of_fp, "fp").select("doc_id", "rid", "rid2", "fp", "root", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, shingle: int = 5, most: int = MOST) -> DataFrame:
+def drop_near_copies(docs: DataFrame, shingle: int = 5, most: int = MOST, jaccard: float | None = None) -> DataFrame:
     """docs with one row for each component: of its rows with the smallest doc_id (nulls last) the one with the smallest text hash."""
-    found = near_copies(docs, shingle, most)
+    found = near_copies(docs, shingle, most, jaccard)
     best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "rid", "rid2")).alias("m"))
     keep = scratch(best.select(F.col("m.rid").alias("__rid"), F.col("m.rid2").alias("__rid2")).distinct(), "kept")
     tagged = docs.select(*docs.columns, *(c.alias(f"__{n}") for n, c in zip(("rid", "rid2"), identity("doc_id", "text"), strict=True)))

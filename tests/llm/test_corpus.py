@@ -152,6 +152,41 @@ def test_simhash_links_are_complete(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_near_dedup_catches_edited_copies(spark, empty):
+    import corpus_pipeline
+
+    g = random.Random(12)
+    vocabulary = ["".join(g.choices("abcdefghij", k=5)) for _ in range(900)]
+
+    def edited(words, n):
+        words = list(words)
+        for at in g.sample(range(len(words)), n):
+            words[at] = "edit" + str(g.random())
+        return words
+
+    bases = [g.choices(vocabulary, k=g.randint(80, 400)) for _ in range(30)]
+    texts = bases + [edited(b, max(1, len(b) // 60)) for b in bases] + [edited(b, len(b) // 12) for b in bases[:10]]
+    texts += [edited(bases[0], 2) for _ in range(40)]  # more than one band's neighbours
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)] + [(900, None), (901, ""), (902, "a b")], "doc_id long, text string")
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    want = {root(i) for i in range(len(texts))}
+    assert 30 <= len(want) < len(texts) - 60
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert {r.doc_id for r in kept.collect()} == want | {900, 902} and kept.columns == docs.columns
+    assert simhash.drop_near_copies(empty, jaccard=0.8).count() == 0
+
+
 def test_toxicity(spark, empty):
     g = random.Random(3)
     clean = [f"w{i}" + "".join(g.choices("abcdefgh", k=4)) for i in range(400)]
