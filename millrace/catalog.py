@@ -68,7 +68,7 @@ def kg_induced_subgraph(spark: S, d: str) -> D:
 @query("SELECT start, id AS goal, min(hops) AS hops FROM (SELECT 'r:0' AS start, 'r:0' AS id, 0 AS hops UNION ALL SELECT a.src, a.dst, 1 FROM kg_edges a WHERE a.src = 'r:0' UNION ALL SELECT a.src, b.dst, 2 FROM kg_edges a JOIN kg_edges b ON a.dst = b.src WHERE a.src = 'r:0' UNION ALL SELECT DISTINCT a.src, c.dst, 3 FROM kg_edges a JOIN kg_edges b ON a.dst = b.src JOIN kg_edges c ON b.dst = c.src WHERE a.src = 'r:0') AS t WHERE id LIKE 'p:%' GROUP BY start, id", rel.KG_EDGES)
 def kg_shortest_path(spark: S, d: str) -> D:
     nodes = rel.kg_nodes(spark, d)
-    return gr.shortest_paths(rel.kg_edges(spark, d), nodes.where("id = 'r:0'"), nodes.where("type = 'part'"), most=4)
+    return gr.shortest_paths(rel.kg_edges(spark, d), nodes.where("id = 'r:0'"), nodes.where("type = 'part'"))
 
 
 @query()

@@ -50,6 +50,15 @@ def test_components_of_the_graph(spark):
     assert {r["id"]: r["component"] for r in graph.components(edges, nodes).collect()} == {x: root(x) for x in list(parent)}
 
 
+def test_shortest_paths_have_no_bound(spark):
+    from millrace.operators import graph
+
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(9)] + [("n9", "n0"), ("n0", "n2")], "src string, dst string")
+    ids = spark.createDataFrame([("n0",), ("n9",), ("alone",)], "id string")
+    out = graph.shortest_paths(edges, ids.where("id = 'n0'"), ids).collect()
+    assert sorted(tuple(r) for r in out) == [("n0", "n0", 0), ("n0", "n9", 8)]
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
