@@ -154,7 +154,10 @@ def spans_hash(b: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.n
     place = np.arange(int(lens.sum()), dtype=np.int64)
     where = np.repeat(starts - first, lens) + place
     pos = place - np.repeat(first, lens)
-    val = values[b[where]] * _keys()[1][pos & 4095]
+    weights = _keys()[1][pos & 4095]
+    if int(lens.max()) > 4096:  # the places of a long span differ in weight beyond the table's length too
+        weights = weights + ((pos >> 12).astype(np.uint64) * np.uint64(0xD1342543DE82EF96))
+    val = values[b[where]] * weights
     out = [np.add.reduceat(val, first) + lens.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)]
     for k in prefixes:
         val[pos >= k] = 0

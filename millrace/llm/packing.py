@@ -14,7 +14,10 @@ packed each. Extra columns are ignored. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import string
 import zlib
 from collections import defaultdict
 
@@ -23,18 +26,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import byte_values, in_arrow, pieces_of, scratch, spans_hash, text_buffers
+from ._common import CHUNK, byte_values, in_arrow, pieces_of, scratch, spans_hash, text_buffers
 
 CAPACITY, END_ID = 1024, 2
-#: Units whose ids a worker remembers; beyond, it starts anew.
-REMEMBERED = 1_000_000
+#: Units whose ids a worker remembers, beyond which it starts anew; bytes of a unit worth remembering.
+REMEMBERED, LONG = 1_000_000, 64
+
+
+def _table(bytes_: str | bytes) -> np.ndarray:
+    t = np.zeros(256, dtype=bool)
+    t[list(bytes_ if isinstance(bytes_, bytes) else bytes_.encode("latin-1"))] = True
+    return t
+
+
+_PRINTED = _table(bytes(range(33, 127)))
+_LETTER = _table(string.ascii_letters)
+_SIGN = _table(string.punctuation)
+#: Bytes that begin a character which is no white space: all but those that lead U+0080 to U+00BF or U+1000 to U+3FFF.
+_NEXT = _PRINTED | _table(bytes(x for x in range(0xC3, 0xF5) if x not in (0xE1, 0xE2, 0xE3)))
+
+
+def _solid(b: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the character that ends at the byte `at` is surely no white space."""
+    last, second, third = b[at], b[np.maximum(at - 1, 0)], b[np.maximum(at - 2, 0)]
+    two, three = (second >= 0xC3) & (second < 0xE0) & (at > 0), (second >= 0x80) & (second < 0xC0) & (at > 1)
+    return _PRINTED[last] | ((last >= 0x80) & (last < 0xC0) & (two | (three & _NEXT[third] & (third >= 0xE0)) | (three & (third >= 0x80) & (third < 0xC0))))
 
 
 class Encoder:
-    """Ids of whole texts by a byte-level BPE tokenizer, which never merges over the start of a new word.
+    """Ids of whole texts by a byte-level BPE tokenizer, whose merges never go over the start of a new word.
 
-    A text is cut before each space that stands between two characters that surely are no white space, the
-    repeated units are encoded once, and the ids are put together again.
+    A text is cut before single spaces, on both sides of single line ends, and between a letter and a sign, which
+    are ends of words to such a tokenizer; repeated units are encoded once, and the ids are put together again.
+    Units are found by a hash and then compared byte by byte. Longer ones than LONG are encoded anew each time. A
+    tokenizer of another make, or one whose added tokens hold or swallow white space, gets whole texts.
     """
 
     _own: dict[str, "Encoder"] = {}
@@ -44,8 +69,16 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        made = json.loads(self.tokenizer.to_str())
+        self.splits = safe_to_split(made)
+        self.added = [t["content"].encode() for t in made.get("added_tokens", [])]
         self.values = byte_values(False)
+        if self.splits:
+            self.widths = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+            for token, i in made["model"]["vocab"].items():
+                self.widths[i] = len(token)  # a character of the vocabulary stands for a byte
+            for t in made.get("added_tokens", []):
+                self.widths[t["id"]] = len(t["content"].encode())
         self.forget()
 
     @classmethod
@@ -55,27 +88,34 @@ class Encoder:
         return cls._own[path]
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.off, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
-
-    @staticmethod
-    def breaks(b: np.ndarray) -> np.ndarray:
-        """Where a unit may begin: at a space between two characters that are no white space."""
-        at = np.flatnonzero(b == 32)
-        at = at[(at > 1) & (at < len(b) - 1)]
-        last, second, following = b[at - 1], b[at - 2], b[at + 1]
-        plain = lambda x: (x > 32) & (x < 127)
-        return at[(plain(last) | ((last >= 128) & (last < 192) & (second == 0xC3))) & (plain(following) | (following == 0xC3))]
+        self.known, self.number = np.zeros(0, np.int64), np.zeros(0, np.int64)  # hashes of units, sorted, and the units' numbers among off and raw_off
+        self.off, self.ids = Grown(np.int64, [0]), Grown(np.uint32)
+        self.raw_off, self.raw = Grown(np.int64, [0]), Grown(np.uint8)
 
-    def cut(self, buf: np.ndarray, at: int, end: int) -> int:
-        from ._common import CHUNK
+    def breaks(self, b: np.ndarray) -> np.ndarray:
+        """Where a unit may begin."""
+        if not self.splits or len(b) < 2:
+            return np.zeros(0, np.int64)
+        gap = np.flatnonzero((b[1:-1] == 32) | (b[1:-1] == 10)) + 1
+        gap = gap[_NEXT[b[gap + 1]] & _solid(b, gap - 1)]
+        sign = np.flatnonzero(_LETTER[b[:-1]] & _SIGN[b[1:]]) + 1
+        at = np.sort(np.concatenate([gap, gap[b[gap] == 10] + 1, sign]))
+        for token in self.added:  # none within an added token
+            raw, k = b.tobytes(), -1
+            while (k := raw.find(token, k + 1)) >= 0:
+                at = at[(at <= k) | (at >= k + len(token))]
+        return at
 
+    def cut(self, buf: np.ndarray, at: int, end: int) -> int:
+        """Divides a long text at a single space near CHUNK bytes from its start."""
         step, to = CHUNK // 2, at + CHUNK // 2
         while to < end:
-            hits = self.breaks(buf[to - 2 : min(to + step, end)])
+            b = buf[to - 4 : min(to + step, end)]
+            hits = self.breaks(b)
+            hits = hits[(hits > 3) & (b[hits] == 32)]
             if len(hits):
-                return to - 2 + int(hits[0])
-            to += step
+                return to - 4 + int(hits[0])
+            to += step - 4
         return end
 
     def encode(self, col: pa.Array):
@@ -88,44 +128,133 @@ class Encoder:
             hi = np.array([g[2] for g in group], dtype=np.int64) - base
             lo = lo - base
             begin = np.zeros(len(b), bool)
-            begin[lo[hi > lo]] = True
             begin[self.breaks(b)] = True
+            begin[lo[hi > lo]] = True
             starts = np.flatnonzero(begin)
             ends = np.append(starts[1:], len(b)) if len(starts) else starts
             code = self.learn(b, starts, ends)
-            lens = self.off[code + 1] - self.off[code]
+            off = self.off.array()
+            lens = off[code + 1] - off[code]
             total = np.concatenate([[0], np.cumsum(lens)])
-            place = np.repeat(self.off[code] - total[:-1], lens) + np.arange(total[-1])
-            ids = self.ids[place]
+            place = np.repeat(off[code] - total[:-1], lens) + np.arange(total[-1])
+            ids = self.ids.array()[place]
             of = np.searchsorted(starts, np.stack([lo, hi]))
             for (row, _, stop), a, z in zip(group, total[of[0]], total[of[1]], strict=True):
                 yield row, ids[a:z], stop == offsets[row + 1]
 
     def learn(self, b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The number of each unit, after new ones have been added."""
         if not len(starts):
             return np.zeros(0, np.int64)
         from pandas import factorize  # on the workers only
 
+        if len(self.known) > REMEMBERED or self.ids.n > 16 * REMEMBERED:
+            self.forget()
         h = spans_hash(b, starts, ends, self.values)[0].view(np.int64)
         code, uniq = factorize(h)
         first = np.empty(len(uniq), np.int64)
         first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
-        if len(self.known) > REMEMBERED:
-            self.forget()
-        keys = uniq.tolist()
-        mine = np.array([self.known.get(k, -1) for k in keys], dtype=np.int64)
+        odd = np.flatnonzero(~same_bytes(b, starts, ends, b, starts[first[code]], ends[first[code]]))
+        if len(odd):  # equal hashes of different bytes: units of their own, not remembered
+            code[odd] = len(first) + np.arange(len(odd))
+            first = np.concatenate([first, odd])
+        s, e, n = starts[first], ends[first], len(uniq)
+        mine = np.full(len(first), -1, np.int64)
+        if len(self.known):
+            at = np.minimum(np.searchsorted(self.known, uniq), len(self.known) - 1)
+            mine[:n] = np.where(self.known[at] == uniq, self.number[at], -1)
+        hit = np.flatnonzero(mine >= 0)
+        raw_off = self.raw_off.array()
+        false = hit[~same_bytes(b, s[hit], e[hit], self.raw.array(), raw_off[mine[hit]], raw_off[mine[hit] + 1])]
+        mine[false] = -1
         new = np.flatnonzero(mine < 0)
         if len(new):
-            raw = b.tobytes()
-            units = [raw[s:e].decode("utf-8", "replace") for s, e in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
-            got = [x.ids for x in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
-            at = len(self.off) - 1
-            self.off = np.concatenate([self.off, self.off[-1] + np.cumsum([len(x) for x in got])])
-            self.ids = np.concatenate([self.ids, np.fromiter((i for x in got for i in x), dtype=np.uint32)])
-            mine[new] = np.arange(at, at + len(new))
-            self.known.update((keys[k], int(mine[k])) for k in new.tolist())
+            order, lens, ids = self.fresh(b, s[new], e[new])
+            new = new[order]
+            mine[new] = self.off.n - 1 + np.arange(len(new))
+            self.off.add(self.ids.n + np.cumsum(lens))
+            self.ids.add(ids)
+            short = (e[new] - s[new] <= LONG) & (new < n) & ~np.isin(new, false)
+            kept = np.where(short, e[new] - s[new], 0)
+            self.raw_off.add(self.raw.n + np.cumsum(kept))
+            self.raw.add(b[flat(s[new], kept)])
+            key = uniq[new[short]]
+            by = np.argsort(key)
+            at = np.searchsorted(self.known, key[by])
+            self.known, self.number = np.insert(self.known, at, key[by]), np.insert(self.number, at, mine[new[short]][by])
         return mine[code]
 
+    def fresh(self, b: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """An order of the units, the number of ids of each in that order, and the ids. Units that may stand side by
+        side go through the tokenizer as one text, which is quicker; the tokens' widths tell where each ends."""
+        left, done = np.ones(len(s), bool), []
+        if self.splits:
+            whole = _solid(b, e - 1)
+            spaced = (b[s] == 32) & (e - s > 1) & _NEXT[b[np.minimum(s + 1, len(b) - 1)]] & whole
+            for own, gap in ((np.flatnonzero(spaced), 0), (np.flatnonzero(_NEXT[b[s]] & whole), 1)):  # the latter behind line ends
+                lens = (e - s)[own]
+                stop = np.cumsum(lens + gap)
+                joined = np.full(int(lens.sum()) + gap * len(lens), 10, np.uint8)
+                joined[flat(stop - lens, lens)] = b[flat(s[own], lens)]
+                try:
+                    text = joined.tobytes().decode()
+                except UnicodeDecodeError:
+                    continue
+                ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+                end = np.concatenate([[0], np.cumsum(self.widths[ids])])
+                a, z = (np.minimum(np.searchsorted(end, x), len(ids)) for x in (stop - lens, stop))
+                fits = (end[a] == stop - lens) & (end[z] == stop)
+                own, a, z = own[fits], a[fits], z[fits]
+                left[own] = False
+                done.append((own, z - a, ids[flat(a, z - a)]))
+        rest = np.flatnonzero(left)
+        texts = [b[x:y].tobytes().decode("utf-8", "replace") for x, y in zip(s[rest].tolist(), e[rest].tolist(), strict=True)]
+        got = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+        done.append((rest, np.array([len(x) for x in got], np.int64), np.concatenate([np.zeros(0, np.uint32), *got])))
+        return tuple(np.concatenate(x) for x in zip(*done, strict=True))
+
+
+class Grown:
+    """An array that grows at its end, by doubling."""
+
+    def __init__(self, kind, first=()):
+        self.held, self.n = np.empty(1024, kind), 0
+        self.add(np.array(first, kind))
+
+    def add(self, more: np.ndarray) -> None:
+        if self.n + len(more) > len(self.held):
+            held = np.empty(2 * (self.n + len(more)), self.held.dtype)
+            held[: self.n] = self.held[: self.n]
+            self.held = held
+        self.held[self.n : self.n + len(more)] = more
+        self.n += len(more)
+
+    def array(self) -> np.ndarray:
+        return self.held[: self.n]
+
+
+def flat(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The places of all spans, one span after another."""
+    return np.repeat(starts - (np.cumsum(lens) - lens), lens) + np.arange(int(lens.sum()))
+
+
+def same_bytes(a: np.ndarray, s: np.ndarray, e: np.ndarray, b: np.ndarray, t: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """Whether the spans [s, e) of a hold the same bytes as the spans [t, f) of b."""
+    same = e - s == f - t
+    other = np.flatnonzero(same & ((s != t) if a is b else True))
+    lens = (e - s)[other]
+    differs = np.flatnonzero(a[flat(s[other], lens)] != b[flat(t[other], lens)])
+    if len(differs):
+        same[other[np.searchsorted(np.cumsum(lens), differs, side="right")]] = False
+    return same
+
+
+def safe_to_split(made: dict) -> bool:
+    """Whether a tokenizer, by its own description, is byte-level BPE whose tokens never go on over a single space."""
+    pre = made.get("pre_tokenizer") or {}
+    plain = made["model"].get("type") == "BPE" and not made.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+    return bool(plain) and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"]) for t in made.get("added_tokens", []))
+
 
 def cut_lengths(n: int, capacity: int) -> list[int]:
     """Lengths of a document's pieces: the remainder first, then full ones."""
@@ -136,16 +265,15 @@ def tokenised(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
     """A row for each piece: doc_id, piece, start, length, ids_crc32, part, and nth, the place among the part's pieces of its length."""
 
     def batches(it):
-        enc, seen = Encoder.at(tokenizer), defaultdict(int)
+        enc, seen, end = Encoder.at(tokenizer), defaultdict(int), np.array([end_id], np.uint32)
         for batch in it:
             out, held = defaultdict(list), []
-            rows = 0
             part = batch.column(2)[0].as_py() if len(batch) else 0
             for row, ids, last in enc.encode(batch.column(1)):
                 held.append(ids)
                 if not last:
                     continue
-                ids = np.concatenate([*held, np.array([end_id], np.uint32)])
+                ids = np.concatenate([*held, end])
                 held, at = [], 0
                 for k, n in enumerate(cut_lengths(len(ids), capacity)):
                     own = ids[at : at + n]
@@ -155,8 +283,6 @@ def tokenised(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
                         out["ids"].append(own.astype(np.int64))
                     seen[n] += 1
                     at += n
-                rows += 1
-            del rows
             doc = batch.column(0).take(pa.array(out["row"], pa.int64()))
             cols = [doc, *(pa.array(out[c], pa.int32() if c == "piece" else pa.int64()) for c in ("piece", "start", "length", "ids_crc32", "nth")), pa.array([part] * len(doc), pa.int32())]
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "nth", "part"]
@@ -255,7 +381,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
 
     out = [c for c in pieces.columns if c not in ("part", "nth")]
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema if f.name in out)
-    seated = short.join(bases, ["part", "length"]).withColumn("rank", F.col("base") + F.col("nth")).transform(in_arrow, seat, f"{kinds}, sequence_id long, offset long")
+    # a merge join: bases has a row for each partition and length, too many to broadcast where there are many partitions
+    seated = short.join(bases.hint("merge"), ["part", "length"]).withColumn("rank", F.col("base") + F.col("nth")).transform(in_arrow, seat, f"{kinds}, sequence_id long, offset long")
     # full pieces fill a sequence each, numbered below zero by their part and their place in it
     whole = pieces.where(F.col("length") == capacity).withColumns({"sequence_id": -1 - (F.col("nth") + F.col("part").cast("long") * (1 << 40)), "offset": F.lit(0).cast("long")})
     return seated.unionByName(whole.select(*seated.columns))

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("millrace.llm")
@@ -254,7 +255,6 @@ def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
     tk = Tokenizer.from_file(queries.tokenizer_path())
-    tk.encode_special_tokens = True
     out = packing.pack(docs, queries.tokenizer_path(), with_ids=True).collect()
     want = collections.Counter()
     for r in docs.collect():
@@ -279,6 +279,23 @@ def test_packing(docs, empty):
     assert packing.pack(empty, queries.tokenizer_path()).count() == 0
 
 
+def test_ids_are_the_tokenizer_s_own():
+    from tokenizers import Tokenizer
+
+    tk, g = Tokenizer.from_file(queries.tokenizer_path()), random.Random(11)
+    letters = [*"ab ,.'\n\t<|endoftext|>éß中　\xa0 Zs9_-", "<|endoftext|>", " ", "\n"]
+    texts = ["".join(g.choices(letters, k=g.randint(1, 60))) for _ in range(3000)]
+    texts += ["x" * 4096 + "y" * 4096, "y" * 4096 + "x" * 4096, "a <|endoftext|> b", "".join(g.choices("的一是不了人我在有他", k=6000)), "Ω ω, я б.\nв " * 500, "à la, ç; é! ×, ÷. x", "it's we'll 'tis\r\n", ""]
+    texts += texts[:500] + [" ".join(texts[:2000])]
+    enc, got, held = packing.Encoder(queries.tokenizer_path()), [], []
+    for _, ids, last in enc.encode(pa.array(texts, pa.string())):
+        held.append(ids)
+        if last:
+            got.append(np.concatenate(held).tolist())
+            held = []
+    assert got == [tk.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_plan_matches_large_items():
     g = random.Random(4)
     for _ in range(20):
