@@ -58,15 +58,46 @@ def test_sharding(docs, empty):
 
 
 def test_slot_maps_are_versioned(spark, tmp_path):
+    path, size = str(tmp_path / "m"), np.arange(12) * 10 + 5
+    assert sharding.newest_version(spark, path) == 0
     m = sharding.default_map(3, 12)
-    sharding.save_map(spark, str(tmp_path / "m"), 1, m)
-    grown = sharding.rebalance(m, np.arange(12) * 10 + 5, 4)
-    sharding.save_map(spark, str(tmp_path / "m"), 2, grown)
-    assert [r.shard for r in sharding.load_map(spark, str(tmp_path / "m"), 1).orderBy("vslot").collect()] == m.tolist()
-    assert [r.shard for r in sharding.load_map(spark, str(tmp_path / "m")).orderBy("vslot").collect()] == grown.tolist()
-    load = np.bincount(grown, weights=np.arange(12) * 10 + 5)
+    sharding.save_map(spark, path, 1, m)
+    grown = sharding.rebalance(m, size, 4)
+    sharding.save_map(spark, path, 2, grown)
+    with pytest.raises(Exception, match="already exists"):
+        sharding.save_map(spark, path, 2, m)
+    assert [r.shard for r in sharding.load_map(spark, path, 1).orderBy("vslot").collect()] == m.tolist()
+    assert [r.shard for r in sharding.load_map(spark, path).orderBy("vslot").collect()] == grown.tolist()
+    load = np.bincount(grown, weights=size)
     assert len(load) == 4 and load.max() - load.min() <= 60
-    assert sharding.largest_first(np.array([9, 1, 1, 9]), 2).tolist().count(0) == 2
+    shrunk = sharding.rebalance(grown, size, 2)
+    assert set(shrunk) == {0, 1} and np.ptp(np.bincount(shrunk, weights=size)) <= 60
+    assert (shrunk == grown)[grown < 2].sum() >= (grown < 2).sum() - 3
+
+
+def test_sharding_edits_the_stored_map(spark, tmp_path):
+    path = str(tmp_path / "m")
+    docs = spark.createDataFrame([(i, "x" * (i * 37 % 400)) for i in range(300)], "doc_id long, text string").repartition(3)
+    first = {r.doc_id: r for r in sharding.shard(docs, 4, 64, path).collect()}
+    version = sharding.newest_version(spark, path)
+    again = {r.doc_id: r for r in sharding.shard(docs.repartition(5), 4, 64, path).collect()}
+    assert len(first) == len(again) == 300 and sharding.newest_version(spark, path) == version
+    assert all(first[i][:6] == again[i][:6] for i in first)
+    more = {r.doc_id: r for r in sharding.shard(docs, 5, 64, path).collect()}
+    assert sharding.newest_version(spark, path) == version + 1 and {r.map_version for r in more.values()} == {version + 1}
+    assert all(more[i].virtual_slot == first[i].virtual_slot for i in first)
+    moved = [i for i in first if more[i].shard != first[i].shard]
+    assert {r.shard for r in more.values()} == set(range(5)) and 30 < len(moved) < 140
+
+
+def test_repeated_records_spread(spark):
+    rows = [(1, "y" * 1000)] * 400 + [(None, None)] * 50 + [(i, "z" * i) for i in range(2, 50)]
+    out = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 4).collect()
+    assert collections.Counter((r.doc_id, r.size) for r in out) == collections.Counter((i, len(t or "") + 16) for i, t in rows)
+    load = [sum(r.size for r in out if r.shard == k) for k in range(4)]
+    assert max(load) - min(load) <= 1016
+    for k in range(4):
+        assert sorted(r.slot for r in out if r.shard == k) == list(range(sum(r.shard == k for r in out)))
 
 
 def line_key(x):
