@@ -17,6 +17,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
 #: Bytes of text that the numpy kernels hold at once; a dozen temporary arrays of eight bytes a byte follow.
 CHUNK = 2 << 20
+#: Bytes after which a long row is divided behind any separator, where a better place was asked for and not found.
+REACH = 16 << 20
 
 
 def ship(spark: SparkSession) -> None:
@@ -44,10 +46,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it; one of our own only in local mode."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not where:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="scratch-"))
         where = sc.getCheckpointDir()
     return where.rstrip("/")
@@ -62,6 +66,17 @@ def scratch(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores added where df has such a column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def ascii_lower(col):
     """Lower-cases A-Z only."""
     return F.translate(col, UPPER, LOWER)
@@ -130,16 +145,18 @@ def pieces_of(buf: np.ndarray, offsets: np.ndarray, cut) -> list[list[tuple[int,
     return groups + [group] if group else groups
 
 
-def cut_at(sep: np.ndarray):
-    """Divides a long row behind a separator near CHUNK bytes from its start."""
+def cut_at(*tables: np.ndarray):
+    """Divides a long row near CHUNK bytes from its start, behind a byte of the first table; where the next REACH bytes
+    have none, behind one of the next table."""
 
     def cut(buf, at, end):
-        step, to = CHUNK // 2, at + CHUNK // 2
-        while to < end:
-            hits = np.flatnonzero(sep[buf[to : min(to + step, end)]])
-            if len(hits):
-                return to + int(hits[0]) + 1
-            to += step
+        for k, sep in enumerate(tables):
+            step, to = CHUNK // 2, at + CHUNK // 2
+            while to < end and (k == len(tables) - 1 or to - at < REACH):
+                hits = np.flatnonzero(sep[buf[to : min(to + step, end)]])
+                if len(hits):
+                    return to + int(hits[0]) + 1
+                to += step
         return end
 
     return cut
@@ -171,15 +188,17 @@ def spans_hash(b: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.n
     return out
 
 
-def words(col: pa.Array, punctuation: bool = False, fold: bool = True, prefixes: tuple[int, ...] = ()):
+def words(col: pa.Array, punctuation: bool = False, fold: bool = True, prefixes: tuple[int, ...] = (), divide: np.ndarray | None = None):
     """Yields (rows, starts, ends, hashes): the words of whole texts, a bounded number of bytes at a time.
 
+    divide: table of the bytes, separators all, behind which long texts are divided if they have any; default all separators.
+
     rows: row number of each word, ascending; starts, ends: its bytes in the row's text; hashes: a list, the
     word's hash and those of its prefixes (longest last named first). A row may go on in the next item.
     """
     buf, offsets = text_buffers(col)
     sep, values = separators(punctuation), byte_values(fold)
-    for group in pieces_of(buf, offsets, cut_at(sep)):
+    for group in pieces_of(buf, offsets, cut_at(sep) if divide is None else cut_at(divide, sep)):
         rows, lo, hi = (np.array(x, dtype=np.int64) for x in zip(*group, strict=True))
         base = int(lo[0])
         b = buf[base : int(hi[-1])]

@@ -8,10 +8,15 @@ each token's own document left out of its odds. Scoring runs forward-backward ov
 whole text; the marginals give the offending offsets, the largest of them, calibrated on the documents of the
 sample, the document's score.
 
-The fit sees at most MAX_ROWS labelled rows of each class, LEXICON word forms and WINDOWS training windows;
-scoring sees all rows. Nulls: a null text is empty and gets the score 0.0; a null doc_id counts as held out. Labels that
-are null are ignored, repeated ones count as their maximum. Without labels of both classes all scores are 0.
-Repeated rows are scored each; extra columns stay in `score`, except for those with the new columns' names.
+The fit sees at most MAX_ROWS labelled rows of each class and keeps the LEXICON word forms that tell most; all of
+these rows train the chain, in small lots. Scoring sees all rows and whole texts; a sentence of more than 16 MiB is
+divided.
+
+Nulls: a null text is empty and gets the score 0.0; a null doc_id counts as held out. Labels that are null are
+ignored, repeated ones count as their maximum. Without labels of both classes, or without a word in the labelled
+texts, all scores are 0. Ties: of equal odds the shorter form of a token counts, of equal forms the one with the
+smallest hash stays. Repeated rows are scored each; extra columns stay in `score`, except for those with the new
+columns' names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ._common import in_arrow, scratch, text_buffers, words
 
-MAX_ROWS, LEXICON, WINDOW, WINDOWS = 16_384, 65_536, 24, 8192
+MAX_ROWS, LEXICON, WINDOW, LOT = 16_384, 65_536, 24, 2048
 BEGINNINGS = (4, 5, 6)
 BINS = np.array([0.5, 1.5, 2.5, 3.25, 4.0, 4.75, 5.5, 6.25, 7.0, 8.0])
 ENDERS = np.zeros(256, dtype=bool)
@@ -150,7 +155,11 @@ def marginals(gain: np.ndarray, starts: np.ndarray, lens: np.ndarray, move: np.n
 
 
 def train(windows: list[tuple[np.ndarray, np.ndarray]], rounds: int = 150, rate: float = 0.15) -> tuple[np.ndarray, np.ndarray]:
-    """Weights by Adam on the mean log-likelihood of (features, labels) windows, with a small L2 term."""
+    """Weights by Adam on the mean log-likelihood of (features, labels) windows, with a small L2 term.
+
+    Each round takes the next LOT windows in a fixed random order; there are as many rounds as to see each window
+    three times at least, the last half of which are averaged.
+    """
     wide = max((len(y) for _, y in windows), default=0)
     emit, move = np.zeros(N_FEATURES), np.zeros(5)
     if not wide:
@@ -159,58 +168,71 @@ def train(windows: list[tuple[np.ndarray, np.ndarray]], rounds: int = 150, rate:
     rows = len(windows)
     x = np.zeros((rows, wide, 4), np.int8)
     y = np.zeros((rows, wide), np.int8)
-    mask = np.zeros((rows, wide))
+    mask = np.zeros((rows, wide), np.int8)
     for i, (f, labels) in enumerate(windows):
         x[i, : len(labels)], y[i, : len(labels)], mask[i, : len(labels)] = f, labels, 1
-    free, m, v = np.concatenate([emit, move]), 0.0, 0.0
+    lots = np.array_split(np.random.default_rng(17).permutation(rows), -(-rows // LOT))
+    free, m, v, mean = np.concatenate([emit, move]), 0.0, 0.0, 0.0
     odds = slice(1, 2 + len(BINS))  # a bin's weight is the sum of its step and of those of all lower bins: unseen bins follow their neighbours
-    pair_true = np.zeros(5)
-    pair_true[0] = y[:, 0].sum()
-    both = mask[:, 1:] > 0
-    for k in range(4):
-        pair_true[1 + k] = ((2 * y[:, :-1] + y[:, 1:] == k) & both).sum()
-    true = np.bincount(x.ravel(), weights=np.repeat((y * mask).ravel(), 4), minlength=N_FEATURES)
+    rounds = max(rounds, 3 * len(lots))
+    half = rounds // 2 if len(lots) > 1 else rounds - 1
     for step in range(1, rounds + 1):
+        own = lots[step % len(lots)]
         w = free.copy()
         w[odds] = np.cumsum(free[odds])
-        g = np.exp(np.clip(w[:N_FEATURES][x].sum(axis=2), -40, 40))
-        begin, *mm = np.exp(w[N_FEATURES:])
-        mm = np.array(mm).reshape(2, 2)
-        alpha = np.zeros((rows, wide, 2))
-        beta = np.ones((rows, wide, 2))
-        alpha[:, 0] = np.stack([np.ones(rows), begin * g[:, 0]], axis=1)
-        alpha[:, 0] /= alpha[:, 0].sum(axis=1, keepdims=True)
-        for t in range(1, wide):
-            a = alpha[:, t - 1] @ mm
-            a[:, 1] *= g[:, t]
-            a /= a.sum(axis=1, keepdims=True)
-            alpha[:, t] = np.where(mask[:, t, None] > 0, a, alpha[:, t - 1])
-        pair = np.zeros(5)
-        for t in range(wide - 1, 0, -1):
-            e = beta[:, t].copy()
-            e[:, 1] *= g[:, t]
-            joint = alpha[:, t - 1, :, None] * mm * e[:, None, :]
-            joint /= joint.sum(axis=(1, 2), keepdims=True)
-            pair[1:] += (joint * mask[:, t, None, None]).sum(axis=0).ravel()
-            b = e @ mm.T
-            b /= b.sum(axis=1, keepdims=True)
-            beta[:, t - 1] = np.where(mask[:, t, None] > 0, b, beta[:, t - 1])
-        post = alpha * beta
-        post = post[:, :, 1] / post.sum(axis=2)
-        pair[0] = post[:, 0].sum()
-        expected = np.bincount(x.ravel(), weights=np.repeat((post * mask).ravel(), 4), minlength=N_FEATURES)
-        grad = (np.concatenate([true, pair_true]) - np.concatenate([expected, pair])) / rows
+        grad = _gradient(x[own], y[own], mask[own], w) / len(own)
         grad[odds] = np.cumsum(grad[odds][::-1])[::-1]
         grad -= 1e-4 * free
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
-        free = free + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+        free = free + rate * min(1.0, 2 - 2 * step / rounds + 0.05) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+        if step > half:
+            mean = mean + free / (rounds - half)
+    free = mean
     free[odds] = np.cumsum(free[odds])
     return free[:N_FEATURES], free[N_FEATURES:]
 
 
+def _gradient(x: np.ndarray, y: np.ndarray, mask: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Of the log-likelihood of windows: counts of features and moves in the labels less those that the chain expects."""
+    rows, wide = y.shape
+    pair_true = np.zeros(5)
+    pair_true[0] = y[:, 0].sum()
+    both = mask[:, 1:] > 0
+    for k in range(4):
+        pair_true[1 + k] = ((2 * y[:, :-1] + y[:, 1:] == k) & both).sum()
+    true = np.bincount(x.ravel(), weights=np.repeat((y * mask).ravel(), 4), minlength=N_FEATURES)
+    g = np.exp(np.clip(w[:N_FEATURES][x].sum(axis=2), -40, 40))
+    begin, *mm = np.exp(w[N_FEATURES:])
+    mm = np.array(mm).reshape(2, 2)
+    alpha = np.zeros((rows, wide, 2))
+    beta = np.ones((rows, wide, 2))
+    alpha[:, 0] = np.stack([np.ones(rows), begin * g[:, 0]], axis=1)
+    alpha[:, 0] /= alpha[:, 0].sum(axis=1, keepdims=True)
+    for t in range(1, wide):
+        a = alpha[:, t - 1] @ mm
+        a[:, 1] *= g[:, t]
+        a /= a.sum(axis=1, keepdims=True)
+        alpha[:, t] = np.where(mask[:, t, None] > 0, a, alpha[:, t - 1])
+    pair = np.zeros(5)
+    for t in range(wide - 1, 0, -1):
+        e = beta[:, t].copy()
+        e[:, 1] *= g[:, t]
+        joint = alpha[:, t - 1, :, None] * mm * e[:, None, :]
+        joint /= joint.sum(axis=(1, 2), keepdims=True)
+        pair[1:] += (joint * mask[:, t, None, None]).sum(axis=0).ravel()
+        b = e @ mm.T
+        b /= b.sum(axis=1, keepdims=True)
+        beta[:, t - 1] = np.where(mask[:, t, None] > 0, b, beta[:, t - 1])
+    post = alpha * beta
+    post = post[:, :, 1] / post.sum(axis=2)
+    pair[0] = post[:, 0].sum()
+    expected = np.bincount(x.ravel(), weights=np.repeat((post * mask).ravel(), 4), minlength=N_FEATURES)
+    return np.concatenate([true, pair_true]) - np.concatenate([expected, pair])
+
+
 def _forms(col: pa.Array):
     """(rows, starts, ends, forms) of the words: whole word, then beginnings from the shortest on."""
-    return words(col, punctuation=True, fold=True, prefixes=BEGINNINGS)
+    return words(col, punctuation=True, fold=True, prefixes=BEGINNINGS, divide=ENDERS)
 
 
 def _sentences(buf, offsets, rows, starts, ends) -> tuple[np.ndarray, np.ndarray]:
@@ -238,21 +260,26 @@ def sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Data
 
 
 def _counts(it):
-    """Partial counts of documents by word form and class; a text of more than CHUNK bytes counts once for each part of it."""
+    """Partial counts of documents by word form and class; the parts of a long text count as one document."""
     for b in it:
         label = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+        before, seen = -1, np.zeros(0, np.uint64)  # the row that may go on, its forms
         for rows, _, _, forms in _forms(b.column(0)):
-            keys, toxic = [], []
-            for h in forms:
-                ok = h != 0
-                order = np.lexsort((rows[ok], h[ok]))
-                hh, rr = h[ok][order], rows[ok][order]
-                one = np.ones(len(hh), dtype=bool)
-                one[1:] = (hh[1:] != hh[:-1]) | (rr[1:] != rr[:-1])
-                keys.append(hh[one].view(np.int64))
-                toxic.append(label[rr[one]])
-            u, inv = np.unique(np.concatenate(keys), return_inverse=True)
-            n1, n = np.bincount(inv, weights=np.concatenate(toxic), minlength=len(u)), np.bincount(inv, minlength=len(u))
+            if not len(rows):
+                continue
+            h, r = np.concatenate(forms), np.tile(rows, len(forms))
+            h, r = h[h != 0], r[h != 0]
+            order = np.lexsort((r, h))
+            h, r = h[order], r[order]
+            one = np.ones(len(h), dtype=bool)
+            one[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
+            h, r = h[one], r[one]
+            last = int(rows[-1])
+            known = (r == before) & np.isin(h, seen)
+            seen = np.concatenate([seen, h[(r == last) & ~known]]) if last == before else h[r == last]
+            before = last
+            u, inv = np.unique(h[~known].view(np.int64), return_inverse=True)
+            n1, n = np.bincount(inv, weights=label[r[~known]], minlength=len(u)), np.bincount(inv, minlength=len(u))
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(n1.astype(np.int64)), pa.array((n - n1).astype(np.int64))], names=["form", "toxic", "clean"])
 
 
@@ -295,10 +322,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, lexicon: i
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in out], pa.binary()), pa.array([k[1] for k in out], pa.binary()), pa.array([k[2] for k in out], pa.int32())], names=["x", "y", "doc"])
 
-    got = rows.transform(in_arrow, windows, "x binary, y binary, doc int").orderBy(F.xxhash64("x", "y")).limit(WINDOWS).toLocalIterator()
+    got = rows.transform(in_arrow, windows, "x binary, y binary, doc int").orderBy(F.xxhash64("x", "y"), "x", "y").toLocalIterator()  # two windows at most for each row of the sample
     kept = [(np.frombuffer(bytes(a), np.int8).reshape(-1, 4), np.frombuffer(bytes(y), np.int8), doc) for a, y, doc in got]
     model.emit, model.move = train([k[:2] for k in kept])
     best = [k for k in kept if k[2] >= 0]
+    if not best:
+        return model
     lens = np.array([len(k[0]) for k in best])
     starts = np.cumsum(lens) - lens
     p = marginals(model.score(np.concatenate([k[0] for k in best])), starts, lens, model.move)

@@ -242,6 +242,37 @@ def test_toxicity(spark, empty):
     assert toxicity.score(empty, model).count() == 0
 
 
+def test_toxicity_without_words_or_words_of_one_class(spark):
+    docs = spark.createDataFrame([(1, ""), (2, " \n"), (3, None), (4, "...")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5)], "doc_id long, toxic int")
+    assert [r.score for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()] == [0.0] * 4
+    some = docs.unionByName(spark.createDataFrame([(6, "one word"), (8, "two words")], "doc_id long, text string"))
+    known = spark.createDataFrame([(1, 1), (2, 1), (6, 0), (8, 0)], "doc_id long, toxic int")
+    assert toxicity.score(some, toxicity.fit(some, known)).where("score >= 0.5").count() == 0
+
+
+def test_parts_of_long_texts_change_nothing(spark, monkeypatch):
+    from millrace.llm import _common
+
+    g = random.Random(4)
+    texts = [" ".join(g.choices(["aa", "bbbb", "vilify", "dd.", "ee\n", "scoundrelly"], k=3000)) for _ in range(6)] + ["x" * 5000, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([1, 0] * 4)], names=["text", "toxic"])
+
+    def counted():
+        out = collections.Counter()
+        for b in toxicity._counts([batch]):
+            for f, t, c in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                out[f, "t"] += t
+                out[f, "c"] += c
+        return out
+
+    want = counted()
+    spans = lambda: [(r, s, e) for rows, starts, ends, _ in toxicity._forms(batch.column(0)) for r, s, e in zip(rows.tolist(), starts.tolist(), ends.tolist(), strict=True)]
+    whole = spans()
+    monkeypatch.setattr(_common, "CHUNK", 700)
+    assert counted() == want and max(want.values()) <= 4 and spans() == whole
+
+
 def test_crf_marginals():
     g = np.random.default_rng(0)
     gain, move = g.normal(size=7), g.normal(size=5) * 0.5
