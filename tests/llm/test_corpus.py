@@ -291,17 +291,48 @@ def test_decontamination(spark, docs, empty):
     rows = [r for r in docs.collect() if r.text and 30 < len(r.text.split()) < 100 and r.doc_id is not None]
     item = " ".join(rows[3].text.split()[5:30])
     w = item.split()
-    items = spark.createDataFrame([(1, item.upper()), (2, "never seen words of any kind at all here now"), (3, None), (4, ""), (5, "two words")], "item_id long, text string")
+    items = spark.createDataFrame([(1, item.upper()), (2, "never seen words of any kind at all here now"), (3, None), (4, ""), (5, "two zebras")], "item_id long, text string")
     paraphrase = " ".join(x for i, x in enumerate(w) if i % 9 != 4)
-    more = spark.createDataFrame([(5001, f"before it {item}, after"), (5002, "some start " + paraphrase + " the end"), (5003, " ".join(reversed(w)))], "doc_id long, text string")
+    more = spark.createDataFrame([(5001, f"before it {item}, after"), (5002, "some start " + paraphrase + " the end"), (5003, " ".join(reversed(w))), (5004, "see: two ZEBRAS."), (5005, "two, or more zebras")], "doc_id long, text string")
     found = decontaminate.leaks(docs.select("doc_id", "text").unionByName(more), items).collect()
-    assert {(r.doc_id, r.item_id) for r in found} == {(rows[3].doc_id, 1), (5001, 1), (5002, 1)}
+    assert {(r.doc_id, r.item_id) for r in found} == {(rows[3].doc_id, 1), (5001, 1), (5002, 1), (5004, 5)}
     left = decontaminate.drop_leaks(docs, items)
     assert left.columns == docs.columns and left.count() == docs.count() - docs.where(F.col("text") == rows[3].text).count()
     assert decontaminate.leaks(empty, items).count() == 0
     assert decontaminate.leaks(docs, items.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("table", [1 << 26, 0])
+def test_decontamination_finds_what_brute_force_finds(spark, monkeypatch, table):
+    """Items as they are, in parts of every length and edited, in documents of other words: recall by length."""
+    monkeypatch.setattr(decontaminate, "TABLE", table)
+    monkeypatch.setattr(decontaminate, "ITEMS", 25)  # more than one pass
+    g = random.Random(21)
+    vocabulary = ["".join(g.choices("abcdefghijklm", k=g.randint(2, 7))) for _ in range(700)]
+    items = [g.choices(vocabulary, k=n) for n in [2, 3, 5, 6, 8, 10, 12, 16, 25, 40, 59] * 4]
+    docs, want = [], set()
+    for i, item in enumerate(items):
+        edited = list(item)
+        for at in g.sample(range(len(item)), len(item) // 8):
+            edited[at] = "other"
+        for k, words in enumerate((item, edited)):
+            docs.append((10 * i + k, " ".join(g.choices(vocabulary, k=g.randint(0, 200)) + words + g.choices(vocabulary, k=g.randint(0, 200)))))
+            want.add((10 * i + k, f"i{i}"))
+    docs += [(9000 + i, " ".join(g.choices(vocabulary, k=300))) for i in range(100)]
+    bench = spark.createDataFrame([(f"i{i}", " ".join(x)) for i, x in enumerate(items)], "item_id string, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), bench).collect()}
+
+    def brute(text, item):  # the best window of the lengths that a passage with edits can have
+        n, t = len(item), text.split()
+        return any(decontaminate.lcs(np.unique(item + t[a : a + n], return_inverse=True)[1][:n], np.unique(item + t[a : a + n], return_inverse=True)[1][n:], max(1, n // 4))[0] >= 0.8 * n for a in range(max(1, len(t) - n + 1)))
+
+    sure = {(d, i) for d, i in want if brute(dict(docs)[d], items[int(i[1:])]) and (len(items[int(i[1:])]) >= 5 or " ".join(items[int(i[1:])]) in dict(docs)[d])}
+    assert {(10 * i, f"i{i}") for i in range(len(items))} <= found  # exact copies, short ones too
+    assert len(sure & found) >= 0.95 * len(sure) and len(sure) > 70
+    long_ones = {(d, i) for d, i in found if len(items[int(i[1:])]) >= 8}
+    assert {d for d, _ in long_ones if d >= 9000} == set()
+
+
 def test_lcs():
     g = random.Random(2)
     for _ in range(50):
