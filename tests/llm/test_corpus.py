@@ -432,11 +432,31 @@ def test_embeddings(spark):
 
 
 def test_long_lists_lose_no_link(spark, monkeypatch):
-    monkeypatch.setattr(embedding_dedup, "BUCKET", 7)
+    """Lists divided into chunks give what the same lists whole give."""
     g = np.random.default_rng(5)
-    x = g.normal(size=(1, 8)) + g.normal(size=(60, 8)) * 0.02
-    out = embedding_dedup.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), 0.9, pivots=3, nearest=2).collect()
-    assert sum(r.n_links for r in out) >= 0.5 * 60 * 59 and len({r.component_id for r in out}) <= 3
+    x = g.normal(size=(1, 8)) + g.normal(size=(60, 8)) * 0.05
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    want = sorted(tuple(r) for r in embedding_dedup.near_vectors(df, 0.9).collect())
+    monkeypatch.setattr(embedding_dedup, "BUCKET", 7)
+    assert sorted(tuple(r) for r in embedding_dedup.near_vectors(df, 0.9).collect()) == want
+    assert sum(r[1] for r in want) >= 0.9 * 60 * 59
+
+
+def test_embeddings_of_any_size_link(spark):
+    """Components whose squares over- or underflow."""
+    x = [[1e200, 1e200], [2e200, 2e200], [1.0, 1.0], [1e-200, 1e-200], [1e200, -1e200], [5e-324, 0.0]]
+    out = embedding_dedup.near_vectors(spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<double>")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in out} == {0: (3, 0), 1: (3, 0), 2: (3, 0), 3: (3, 0), 4: (0, 4), 5: (0, 5)}
+
+
+def test_recall_at_the_query_s_own_parameters(spark):
+    """Many small groups barely above the threshold, against brute force."""
+    g, unit = np.random.default_rng(8), lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    u = unit(np.repeat(unit(g.normal(size=(500, 64))), 6, axis=0) + unit(g.normal(size=(3000, 64))) * np.sqrt(1 / 0.91 - 1))
+    out = {r.vec_id: r for r in embedding_dedup.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(u)], "vec_id long, embedding array<double>")).collect()}
+    want = (u @ u.T >= 0.9).sum(axis=1) - 1
+    got = np.array([out[i].n_links for i in range(len(u))])
+    assert (got <= want).all() and got.sum() >= 0.95 * want.sum() and want.sum() > 5000
 
 
 def jittered(n, share, cosine, g):
