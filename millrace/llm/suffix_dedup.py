@@ -4,15 +4,22 @@ Of all suffixes of the word streams only those that start at content-selected po
 of every run of SPREAD word 5-grams. So equal passages keep the same suffixes, and any passage of min_words
 words holds the minimum of its first SPREAD grams, followed by `reach` words of the passage at least.
 
-Sorting by the first `reach` words brings equal suffixes side by side; where neighbours come from different
-documents the match is extended left and right over all passages of min_words words that have their minimum
-there. Where a document's stretch does not match as a whole, it holds a passage's edge: there, and only there,
-the passages of all documents with that suffix are compared one by one. Comparisons are of 64-bit hashes of the words, counted before the shuffle, so a
-passage that a third of the documents share is one row from each task; no pair of documents is ever formed.
+The retained suffixes are sorted by their first `reach` words, as hashes of PARTS stretches one after another, then by
+document and position: dealt out by range, document included, so that a suffix that a third of the documents share is
+divided among tasks, and sorted within each. One pass compares neighbours: suffixes with all parts in common with one
+of another document stay. The first and the last run of a task may go on in the next; these, a few rows from each
+task, are settled by an aggregation.
+
+Then matches are extended left and right: each suffix stands for the stretch of all passages of min_words words that
+have their minimum there. Where a document's stretch does not match as a whole, it holds a passage's edge: there, and
+only there, the passages of all documents with that suffix are compared one by one. Comparisons are of 64-bit hashes
+of the words, counted before the shuffle, so a passage that a third of the documents share is one row from each task;
+no pair of documents is ever formed.
 
 Words are runs of letters, digits and non-ASCII characters, lower-cased in A-Z. Nulls: a null text has no
-words; a null doc_id stays null. Rows that repeat both doc_id and text are one document. Extra columns are
-ignored. Empty tables give an empty result.
+words; a null doc_id stays null. Rows that repeat both doc_id and text are one document. Ties: of equal minima the
+first position counts. Texts of fewer than min_words words, empty ones too, have no passage; texts of any length are
+worked through whole. Extra columns are ignored. Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ._common import in_arrow, scratch, words_by_row
 
-MIN_WORDS, GRAM, SPREAD = 50, 5, 24
+MIN_WORDS, GRAM, SPREAD, PARTS = 50, 5, 24, 3
 _A = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_A, -1, 1 << 64)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -87,11 +94,63 @@ def _map(df: DataFrame, make, names: list[str]) -> DataFrame:
 
 
 def _in_two_documents(rows: DataFrame, tag: str) -> DataFrame:
-    """The keys that rows of different documents have: neighbours in the sorted order, counted before the shuffle."""
+    """The keys that rows of different documents have, counted before the shuffle."""
     ends = rows.groupBy("key").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi"))
     return scratch(ends.where(F.col("lo") != F.col("hi")).select("key"), tag)
 
 
+def neighbours(it):
+    """Of a task's sorted suffixes (parts, rid, p) those that a neighbour of another document equals, open = 0. Of its
+    first and last run, which may go on elsewhere, the rows not settled here and the run's least and greatest rid
+    (p = -1), open = 1."""
+
+    def batch(*found):
+        rows = np.concatenate([np.concatenate([a, np.full((1, a.shape[1]), flag, np.int64)]) for a, flag in found if a.shape[1]] or [np.zeros((PARTS + 3, 0), np.int64)], axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=[*(f"part{i}" for i in range(PARTS)), "rid", "p", "open"])
+
+    def ends(run):
+        out = run[:, [0, -1]].copy()
+        out[-1] = -1
+        return out
+
+    held, emitted, shared, first = np.zeros((PARTS + 2, 0), np.int64), 0, False, True  # the run that may go on
+    for b in it:
+        a = np.concatenate([held, np.stack([c.to_numpy() for c in b.columns])], axis=1)
+        if not a.shape[1]:
+            continue
+        begin = np.flatnonzero(np.concatenate([[True], (a[:PARTS, 1:] != a[:PARTS, :-1]).any(axis=0)]))
+        stop = np.append(begin[1:], a.shape[1])
+        equal = a[PARTS, begin] != a[PARTS, stop - 1]
+        equal[0] |= shared
+        keep = np.repeat(equal, stop - begin)
+        keep[:emitted] = False
+        out = [(a[:, keep], 0)]
+        if len(begin) > 1 and first:
+            run = a[:, : stop[0]]
+            out.append((ends(run), 1))
+            if not equal[0]:
+                out.append((run, 1))
+            first = False
+        shared = bool(equal[-1])
+        held = a[:, begin[-1] :]
+        if shared:  # its rows are out; the least rid, for the run's ends, and the last row remain
+            held = held[:, [0, -1]] if held.shape[1] > 1 else held
+        emitted = held.shape[1] if shared else 0
+        yield batch(*out)
+    if held.shape[1]:
+        yield batch((ends(held), 1), (held[:, emitted:], 1))
+
+
+def shared_suffixes(kept: DataFrame) -> DataFrame:
+    """(rid, p): the suffixes (parts, rid, p) that another document has too."""
+    parts = [f"part{i}" for i in range(PARTS)]
+    array = kept.repartitionByRange(*parts, "rid").sortWithinPartitions(*parts, "rid", "p").select(*parts, "rid", "p")
+    found = scratch(array.transform(in_arrow, neighbours, ", ".join(f"{c} long" for c in [*parts, "rid", "p", "open"])), "neighbours")
+    border = found.where("open = 1")
+    both = border.groupBy(*parts).agg(F.min("rid").alias("lo"), F.max("rid").alias("hi")).where("lo <> hi")
+    return found.where("open = 0").select("rid", "p").unionByName(border.where("p >= 0").join(both, parts, "left_semi").select("rid", "p"))
+
+
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS, spread: int = SPREAD) -> DataFrame:
     """(doc_id, start_word, n_words, start_byte, n_bytes): the passages, as long as they go, all of whose runs of min_words words occur in another document too."""
     if min_words < spread + GRAM:
@@ -100,7 +159,8 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, spread: int = SPREAD) -
 
     def suffixes(s: Stream, starts, ends, rest):
         p, _, _ = s.retained(spread, min_words)
-        return s.hash(p, p + reach), p
+        at = [reach * i // PARTS for i in range(PARTS + 1)]
+        return *(s.hash(p + a, p + z) for a, z in zip(at[:-1], at[1:], strict=True)), p
 
     def extended(s: Stream, starts, ends, rest):
         p, first, last = s.retained(spread, min_words)
@@ -115,9 +175,8 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, spread: int = SPREAD) -
         return s.hash(first, first + min_words), first, first + min_words, starts[first], ends[first + min_words - 1]
 
     whole = docs.where("text is not null").select(F.xxhash64("doc_id", "text").alias("rid"), "text")
-    kept = _map(whole, suffixes, ["key", "p"])
-    twice = _in_two_documents(kept.select("key", "rid"), "suffix-keys")
-    flagged = scratch(kept.join(twice, "key", "left_semi").groupBy("rid").agg(F.collect_set("p").alias("p")), "suffixes")
+    kept = scratch(_map(whole, suffixes, [*(f"part{i}" for i in range(PARTS)), "p"]), "suffixes")
+    flagged = scratch(shared_suffixes(kept).groupBy("rid").agg(F.collect_set("p").alias("p")), "shared-suffixes")
     texts = scratch(docs.where("text is not null").select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), "text").join(flagged, "rid").dropDuplicates(["rid"]), "matched-texts")
 
     found = scratch(_map(texts.select("rid", "text", "p"), extended, ["key", "suffix", "a", "z", "byte", "end"]), "stretches")

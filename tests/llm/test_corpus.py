@@ -503,6 +503,31 @@ def test_suffix_dedup(docs, empty):
     assert suffix_dedup.repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 1000])
+def test_neighbours_in_sorted_suffixes(size):
+    """Runs that go over batches and tasks, against grouping."""
+    g = random.Random(size)
+    rows = sorted((g.randrange(3), g.randrange(2), g.randrange(2), g.randrange(4), g.randrange(5)) for _ in range(60))
+    rows = sorted({*rows, (9, 9, 9, 1, 1), (9, 9, 9, 1, 2), (9, 9, 9, 2, 1), (8, 8, 8, 3, 3)})
+    rids = collections.defaultdict(set)
+    for r in rows:
+        rids[r[:3]].add(r[3])
+    want = {r for r in rows if len(rids[r[:3]]) > 1}
+    names = ["part0", "part1", "part2", "rid", "p"]
+    settled, border = [], []
+    cuts = sorted(g.sample(range(len(rows)), 6))
+    for a, z in zip([0, *cuts], [*cuts, len(rows)], strict=True):  # tasks
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows[k : min(k + size, z)]], pa.int64()) for i in range(5)], names=names) for k in range(a, z, size)]
+        for b in suffix_dedup.neighbours(iter(batches)):
+            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                (border if r[5] else settled).append(r[:5])
+    both = collections.defaultdict(set)
+    for r in border:
+        both[r[:3]].add(r[3])
+    got = settled + [r for r in border if r[4] >= 0 and len(both[r[:3]]) > 1]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_url_filter(spark):
     urls = ["http://A.Net/x", "https://b.example.net/en/1", "https://b.example.net/fr/1?u=http://org/fr/", "http://example.com/de/2", "http://notexample.com/de/2", "http://x.org/fr/#a", "http://org", "nothing", None, "", "http://net?q", "ftp://ÄB.com/ü/1%20"]
     df = spark.createDataFrame([(i, u, "h", "p") for i, u in enumerate(urls * 3)], "page_id long, url string, host string, label string")
