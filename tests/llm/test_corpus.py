@@ -578,6 +578,40 @@ def test_html_extraction(spark):
     assert html_extraction.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_markup_faults():
+    one = lambda page: " ".join(t for r, t in html_extraction.blocks(page) if r == "content")
+    assert one('<article>A<span class="menu">x <span>y</span> z</span> B</article>') == "A B"
+    assert one("<article><a title=it's href=x>link</a> \"more\" <b>it's</b> <img alt='a > b'>end</article>") == "link \"more\" it's end"
+    assert one("<article><section class='legal'>law</section><p class='skip'>text</p><div class='comments'>no</div></article>") == "law text"
+    assert one("<article><p>a<p class=ad>b</p><p>c</article><p>out") == "a c"
+    assert one("<article><a href=/x/>one</a> two</article>") == "one two"
+
+
+def test_the_host_s_array_decides_where_markup_is_silent(spark):
+    """Boilerplate of differing lengths in plain elements and in articles; without repeats the array takes nothing."""
+    g = random.Random(14)
+    vocabulary = ["".join(g.choices("abcdefghijklmnop", k=g.randint(3, 9))) for _ in range(4000)]
+    say = lambda n: " ".join(g.choices(vocabulary, k=n))
+    top, note, foot, quote, copy = say(9), say(30), say(14), say(40), [say(30) for _ in range(4)]
+    rows, want = [], {}
+    for i in range(20):
+        own = [say(g.randint(15, 40)) for _ in range(3)]
+        rows.append((i, f"https://plain.org/{i}", f"<body><div>{top}</div><div>{own[0]}</div><div>{note}</div><p>{own[1]}</p><p>{own[2]}</p><div>{foot} {i}</div>"))
+        want[i] = " ".join(own)
+        quoted = [quote] if i < 5 else []
+        body = copy if i in (7, 8, 9) else own
+        rows.append((100 + i, f"https://art.org/{i}", "<article>" + "".join(f"<p>{x}</p>" for x in [note, *body, *quoted]) + "</article>"))
+        want[100 + i] = " ".join([*body, *quoted])
+        rows.append((200 + i, f"https://lone{i}.org/", f"<div>{top}</div><div>{own[0]}</div>"))
+        want[200 + i] = f"{top} {own[0]}"
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = {r.page_id: r for r in html_extraction.main_text(df).collect()}
+    assert sum(got[i].text.removesuffix(str(i)).strip() == want[i] for i in range(20)) == 20
+    assert all(got[i].text == want[i] for i in want if i >= 100)
+    off = {r.page_id: r.text for r in html_extraction.main_text(df, min_pages=10**6).collect()}
+    assert all(off[i] != got[i].text for i in range(120) if i in off) and all(off[i] == want[i] for i in want if i >= 200)
+
+
 def test_blocks_decode_references():
     assert html_extraction.blocks("<main><p>&eacute;&#39;&#x4e2d;</p></main>") == [("content", html.unescape("&eacute;&#39;&#x4e2d;"))]
 
