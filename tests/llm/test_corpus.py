@@ -559,6 +559,16 @@ def test_trees_learn(spark):
     assert out.where((F.col("margin") > 0) == (F.col("verdict") == "block")).count() >= 390
 
 
+def test_trees_judge_hosts_that_they_have_not_seen(spark):
+    """The last labels tell nothing here, the digits do; against the more frequent label, and against labels at random."""
+    g = random.Random(19)
+    url = lambda bad: f"http://h{g.randrange(60)}.t{g.randrange(40)}/" + ("7" + "".join(g.choices("0123456789", k=12)) if bad else "plain/words/of/a/page")
+    df = spark.createDataFrame([(url(i % 3 == 0),) for i in range(900)], "url string")
+    rules = [(f"t{j}", p, v) for j in range(40) for p, v in (("/7", "block"), ("/p", "allow"))]
+    r = url_filter.held_out(df, rules).first()
+    assert r["n"] > 50 and r["right"] >= 0.97 * r["n"] and r["base"] < 0.8 * r["n"]
+
+
 PAGE = "<html><head><title>t</title><script>if(a<b)document.write('<p>no</p>')</script></head><body><nav><a href='/'>Home</a></nav>{before}<{tag} class='{cls}'><h1>Head &amp; more</h1><p>Body <b>bo</b>ld\n  text&nbsp;here &lt;3 {n}</p><form>Sign up</form><div class='comments'><article>nice</article></div></{tag}>{after}<footer>&copy; x</footer>"
 
 
