@@ -160,11 +160,9 @@ def parsed(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", F.xxhash64("html").alias("rid"), F.xxhash64(host(F.col("url"))).alias("host"), "html").transform(in_arrow, batches, f"page_id {kind}, url string, rid long, host long, content array<string>, open array<string>, chrome array<string>")
 
 
-KINDS = ("content", "open", "chrome")
-
-
 def suffixes(rows: DataFrame) -> DataFrame:
-    """(host, run, rid, block, pos, kind): the retained suffixes by their first RUN tokens; shorter blocks, and content blocks, by all."""
+    """(host, run, rid, block, pos, kind): the retained suffixes by their first RUN tokens; shorter blocks, and content blocks, by all.
+    kind is 0 for content, 1 for open and 2 for chrome blocks."""
 
     def batches(it):
         from .suffix_dedup import Stream
@@ -172,22 +170,23 @@ def suffixes(rows: DataFrame) -> DataFrame:
         for b in it:
             hosts, rids = (b.column(i).to_numpy() for i in (0, 1))
             out = []
-            for kind in range(len(KINDS)):
-                lists = b.column(2 + kind)
+            for kind in (1, 2):
+                lists = b.column(1 + kind)
                 sizes = np.array([len(x) if x.is_valid else 0 for x in lists], np.int64)
                 parents = np.repeat(np.arange(len(b)), sizes)
                 nth = np.arange(len(parents)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 for k, _, _, h in words_by_row(lists.flatten(), punctuation=True):
                     if not len(h):
                         continue
-                    p = np.arange(max(1, len(h) - RUN + 1)) if kind else np.zeros(1, np.int64)
-                    run = Stream(h).hash(p, np.minimum(p + RUN, len(h)) if kind else np.array([len(h)])) ^ np.int64(0 if kind else 0x5DEECE66D)
-                    n = len(p)
+                    p = np.arange(max(1, len(h) - RUN + 1))
+                    run, n = Stream(h).hash(p, np.minimum(p + RUN, len(h))), len(p)
                     out.append((np.full(n, hosts[parents[k]]), run, np.full(n, rids[parents[k]]), np.full(n, nth[k]), p, np.full(n, kind)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)], names=["host", "run", "rid", "block", "pos", "kind"])
 
-    return rows.select("host", "rid", *KINDS).transform(in_arrow, batches, "host long, run long, rid long, block long, pos long, kind long")
+    told = rows.select("host", "rid", "open", "chrome").transform(in_arrow, batches, "host long, run long, rid long, block long, pos long, kind long")
+    content = rows.select("host", "rid", F.posexplode("content").alias("block", "text")).select("host", F.xxhash64("text").alias("run"), "rid", F.col("block").cast("long").alias("block"), F.lit(0).cast("long").alias("pos"), F.lit(0).cast("long").alias("kind"))
+    return told.unionByName(content)
 
 
 def pages_of_runs(it):
