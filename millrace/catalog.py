@@ -302,46 +302,47 @@ def snapshot_diff(spark: S, d: str) -> D:
 _DEPS = "deps AS (SELECT DISTINCT a.dag_id, a.task_id, a.dep FROM (SELECT dag_id, task_id, unnest(depends_on) AS dep FROM dag) AS a JOIN dag b ON a.dag_id = b.dag_id AND a.dep = b.task_id)"
 _REACH = "reach AS (SELECT dag_id, task_id, dep FROM deps UNION SELECT r.dag_id, r.task_id, e.dep FROM reach r JOIN deps e ON r.dag_id = e.dag_id AND r.dep = e.task_id)"
 _LEVELS = (
-    "walk AS (SELECT dag_id, task_id, 0 AS level FROM dag UNION SELECT e.dag_id, e.task_id, w.level + 1 FROM walk w JOIN deps e ON w.dag_id = e.dag_id AND w.task_id = e.dep WHERE w.level < 12), "
-    "stuck AS (SELECT DISTINCT r.dag_id, r.task_id FROM reach r WHERE r.task_id = r.dep UNION SELECT r.dag_id, r.task_id FROM reach r JOIN (SELECT dag_id, task_id FROM reach WHERE task_id = dep) AS c ON r.dag_id = c.dag_id AND r.dep = c.task_id), "
-    "sound AS (SELECT dag_id, task_id, max(level) AS level FROM walk WHERE (dag_id, task_id) NOT IN (SELECT dag_id, task_id FROM stuck) GROUP BY 1, 2), "
-    "lv AS (SELECT * FROM sound UNION ALL SELECT s.dag_id, s.task_id, coalesce((SELECT max(level) + 1 FROM sound x WHERE x.dag_id = s.dag_id), 0) FROM stuck s)"
+    "stuck AS (SELECT dag_id, task_id FROM reach WHERE task_id = dep UNION SELECT r.dag_id, r.task_id FROM reach r JOIN (SELECT dag_id, task_id FROM reach WHERE task_id = dep) AS c ON r.dag_id = c.dag_id AND r.dep = c.task_id), "
+    "free AS (SELECT d.* FROM deps d LEFT JOIN stuck s ON d.dag_id = s.dag_id AND d.task_id = s.task_id WHERE s.dag_id IS NULL), "
+    "walk AS (SELECT dag_id, task_id, 0 AS level FROM dag UNION SELECT e.dag_id, e.task_id, w.level + 1 FROM walk w JOIN free e ON w.dag_id = e.dag_id AND w.task_id = e.dep), "
+    "sound AS (SELECT w.dag_id, w.task_id, max(level) AS level FROM walk w LEFT JOIN stuck s ON w.dag_id = s.dag_id AND w.task_id = s.task_id WHERE s.dag_id IS NULL GROUP BY 1, 2), "
+    "lv AS (SELECT * FROM sound UNION ALL SELECT s.dag_id, s.task_id, coalesce(m.last, 0) FROM stuck s LEFT JOIN (SELECT dag_id, max(level) + 1 AS last FROM sound GROUP BY 1) AS m ON s.dag_id = m.dag_id)"
 )
 
 
 @query("SELECT dag_id, task_id, level FROM lv", rel.DAG_SQL, _DEPS, _REACH, _LEVELS)
 def dag_levels(spark: S, d: str) -> D:
-    return dg.levels(rel.dag(spark))
+    return dg.levels(rel.dag(spark, d))
 
 
 @query("SELECT dag_id, round(sum(s), 4) AS sequential, round(sum(m), 4) AS parallel FROM (SELECT dag.dag_id, level, max(est_time) AS m, sum(est_time) AS s FROM dag JOIN lv ON dag.dag_id = lv.dag_id AND dag.task_id = lv.task_id GROUP BY 1, 2) AS t GROUP BY dag_id", rel.DAG_SQL, _DEPS, _REACH, _LEVELS)
 def dag_time_estimate(spark: S, d: str) -> D:
-    return dg.time_estimate(rel.dag(spark))
+    return dg.time_estimate(rel.dag(spark, d))
 
 
 @query("SELECT dag_id, task_id FROM reach WHERE task_id = dep", rel.DAG_SQL, _DEPS, _REACH)
 def dag_cycles(spark: S, d: str) -> D:
-    return dg.cycles(rel.dag(spark))
+    return dg.cycles(rel.dag(spark, d))
 
 
 @query("SELECT e.dag_id, e.task_id, e.dep FROM deps e WHERE NOT EXISTS (SELECT 1 FROM reach r WHERE r.dag_id = e.dag_id AND r.task_id = e.dep AND r.dep = e.task_id AND e.task_id <= e.dep)", rel.DAG_SQL, _DEPS, _REACH)
 def dag_without_cycles(spark: S, d: str) -> D:
-    return dg.remove_back_edges(rel.dag(spark))
+    return dg.remove_back_edges(rel.dag(spark, d))
 
 
 @query("SELECT * FROM deps e WHERE NOT EXISTS (SELECT 1 FROM deps x JOIN deps y ON x.dag_id = y.dag_id AND x.dep = y.task_id WHERE x.dag_id = e.dag_id AND x.task_id = e.task_id AND y.dep = e.dep)", rel.DAG_SQL, _DEPS)
 def transitive_reduction(spark: S, d: str) -> D:
-    return dg.transitive_reduction(rel.dag(spark))
+    return dg.transitive_reduction(rel.dag(spark, d))
 
 
 @query("SELECT dag_id, array_to_string(list_sort(depends_on), ',') AS deps, string_agg(task_id, ',' ORDER BY task_id) AS tasks, count(*) AS n FROM dag GROUP BY 1, 2 HAVING count(*) > 1", rel.DAG_SQL)
 def same_dependencies(spark: S, d: str) -> D:
-    return dg.same_dependencies(rel.dag(spark))
+    return dg.same_dependencies(rel.dag(spark, d))
 
 
 @query("SELECT dag_id, task_id, dep, 'dangling' AS problem FROM a WHERE NOT EXISTS (SELECT 1 FROM dag b WHERE b.dag_id = a.dag_id AND b.task_id = a.dep) UNION ALL SELECT dag_id, task_id, dep, 'self' FROM a WHERE dep = task_id", rel.DAG_SQL, "a AS (SELECT dag_id, task_id, unnest(depends_on) AS dep FROM dag)")
 def dependency_problems(spark: S, d: str) -> D:
-    return dg.problems(rel.dag(spark))
+    return dg.problems(rel.dag(spark, d))
 
 
 _FITS = "(o.output_type = i.input_type OR o.output_type = 'any' OR i.input_type = 'any' OR (o.output_type, i.input_type) IN (" + ", ".join(f"('{a}', '{b}')" for a, b in pv.COMPATIBLE) + "))"
@@ -480,11 +481,27 @@ def json_field(spark: S, d: str) -> D:
     return rel.read(spark, d, "events").select("event_id", js.field(F.col("props"), "k", "bigint").alias("k"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_type WHEN event_id % 3 = 1 THEN CAST(user_id AS VARCHAR) ELSE props END AS core FROM events")
+_CORE = [  # a result as JSON, with {t} for the event's type and {u} for its user, and what its core is
+    ('{{"answer": "{t}", "text": "x"}}', "{t}"),
+    ('{{"result": "", "text": "{t}"}}', ""),
+    ('{{"result": {{"answer": ""}}, "text": "{t}"}}', "{t}"),
+    ('{{"data": [{{"content": {{"answer": "{t}"}}}}]}}', "{t}"),
+    ('{{"answer": {u}}}', "{u}"),
+    ('{{"data": {{"data": {{"data": {{"data": {{"data": {{"answer": "{t}"}}}}}}}}}}}}', "{t}"),
+    ('{{"data": {{"data": {{"data": {{"data": {{"data": {{"data": {{"answer": "{t}"}}}}}}}}}}}}, "text": "up"}}', '{{\n  "data": {{\n    "answer": "{t}"\n  }}\n}}'),
+    ('{{"k": {u}}}', '{{\n  "k": {u}\n}}'),
+    ("null", ""),
+    ('"{t}"', "{t}"),
+    ("no json {t}", "no json {t}"),
+]
+
+
+@query("SELECT event_id, CASE event_id % " + str(len(_CORE)) + " " + " ".join(f"WHEN {i} THEN " + "'" + want.replace("{{", "{").replace("}}", "}").replace("{t}", "' || event_type || '").replace("{u}", "' || user_id || '").replace("\n", "' || chr(10) || '") + "'" for i, (_, want) in enumerate(_CORE)) + " END AS core FROM events")
 def core_result(spark: S, d: str) -> D:
-    e = rel.read(spark, d, "events")
-    j = F.when(F.col("event_id") % 3 == 0, F.to_json(F.struct(F.col("event_type").alias("answer"), F.col("user_id").alias("text")))).when(F.col("event_id") % 3 == 1, F.to_json(F.struct(F.lit("").alias("result"), F.col("user_id").cast("string").alias("text")))).otherwise(F.col("props"))
-    return e.select("event_id", js.core_result(j).alias("core"))
+    shapes = F.array(*(F.lit(j.replace("{{", "{").replace("}}", "}")) for j, _ in _CORE))
+    shape = F.get(shapes, (F.col("event_id") % len(_CORE)).cast("int"))
+    data = F.replace(F.replace(shape, F.lit("{t}"), F.col("event_type")), F.lit("{u}"), F.col("user_id").cast("string"))
+    return rel.read(spark, d, "events").select("event_id", js.core_result(data).alias("core"))
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
@@ -522,4 +539,4 @@ def stream_ema(spark: S, d: str) -> D:
     return ev.drain(ev.ema_state(ev.event_stream(spark, d)), "update")
 
 
-from . import catalog_matching, catalog_results  # noqa: E402, F401
+from . import catalog_matching, catalog_readers, catalog_registry, catalog_results, catalog_selection, catalog_texts  # noqa: E402, F401

@@ -61,7 +61,7 @@ def result_types(spark: S, d: str) -> D:
     return rel.read(spark, d, "events").select("event_id", js.result_type(data).alias("kind"))
 
 
-@query("SELECT qid, CASE WHEN len(regexp_extract_all(text, '[a-zA-Z]')) + len(regexp_extract_all(text, '[가-힣]')) = 0 THEN 'en' WHEN len(regexp_extract_all(text, '[가-힣]')) * 1.0 / (len(regexp_extract_all(text, '[a-zA-Z]')) + len(regexp_extract_all(text, '[가-힣]'))) >= 0.3 THEN 'ko' ELSE 'en' END AS language FROM q_texts", rel.Q_TEXTS)
+@query(r"SELECT qid, CASE WHEN len(regexp_extract_all(text, '\p{L}')) = 0 THEN 'en' WHEN len(regexp_extract_all(text, '[가-힣ㄱ-ㆎ]')) * 1.0 / len(regexp_extract_all(text, '\p{L}')) >= 0.3 THEN 'ko' ELSE 'en' END AS language FROM q_texts", rel.Q_TEXTS)
 def language_share(spark: S, d: str) -> D:
     return rel.q_texts(spark, d).select("qid", tx.language_share(F.col("text")).alias("language"))
 

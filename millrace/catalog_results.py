@@ -57,12 +57,12 @@ def task_type_time(spark: S, d: str) -> D:
 
 @query("SELECT a.dag_id, a.task_id, string_agg(b.task_id || '=' || printf('%.1f', b.est_time), '; ' ORDER BY b.seq) AS context FROM (SELECT dag_id, task_id, unnest(depends_on) AS dep FROM dag) AS a JOIN dag b ON a.dag_id = b.dag_id AND a.dep = b.task_id GROUP BY 1, 2", rel.DAG_SQL)
 def dependency_context(spark: S, d: str) -> D:
-    return rs.dependency_context(rel.dag(spark))
+    return rs.dependency_context(rel.dag(spark, d))
 
 
 @query("SELECT dag_id, task_id, array_to_string(list_sort(list_distinct(depends_on)), ',') AS sources, len(depends_on) > 0 AS needs_context FROM dag", rel.DAG_SQL)
 def query_chains(spark: S, d: str) -> D:
-    return rs.query_chains(rel.dag(spark))
+    return rs.query_chains(rel.dag(spark, d))
 
 
 @query("SELECT workflow_id, CAST(floor((pos - 1) / 3.0) AS BIGINT) AS stage, string_agg(agent_id, '|' ORDER BY pos) FILTER (WHERE success) AS output, bool_and(success) AS all_ok FROM exec_log GROUP BY 1, 2", rel.EXEC_LOG)
@@ -70,7 +70,7 @@ def stage_output(spark: S, d: str) -> D:
     return rs.stage_output(rel.exec_log(spark, d))
 
 
-@query("SELECT workflow_id, arg_max(agent_id, pos) AS output FROM exec_log WHERE success GROUP BY 1", rel.EXEC_LOG)
+@query("SELECT l.workflow_id, (SELECT e.agent_id FROM exec_log e WHERE e.workflow_id = l.workflow_id AND floor((e.pos - 1) / 3.0) = l.stage AND e.success ORDER BY e.pos DESC LIMIT 1) AS output FROM (SELECT workflow_id, max(floor((pos - 1) / 3.0)) AS stage FROM exec_log GROUP BY 1) AS l", rel.EXEC_LOG)
 def last_success(spark: S, d: str) -> D:
     return rs.last_success(rel.exec_log(spark, d))
 

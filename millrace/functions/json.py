@@ -14,8 +14,48 @@ def field(json: Column, key: str, kind: str = "string") -> Column:
 
 
 def core_result(json: Column) -> Column:
-    """The first of the core keys that is set, else the JSON itself."""
-    return F.coalesce(*(F.nullif(field(json, k), F.lit("")) for k in CORE_KEYS), json)
+    """The core of a nested result: text itself, or the first of the core keys, followed down to five levels; a result or
+    data key that leads to nothing gives way to the next key. What has none of the keys is given as indented JSON; text
+    that is no JSON is its own core.
+
+    An Arrow batch function: the search goes back up the tree, which no fixed expression does without growing by a
+    factor of five a level.
+    """
+    import pandas as pd
+
+    def core(texts):
+        import json as j
+
+        def search(v, depth=0):
+            if depth > 5 or v is None:
+                return ""
+            if isinstance(v, str):
+                return v
+            if isinstance(v, list) and len(v) == 1:
+                return search(v[0], depth + 1)
+            if isinstance(v, dict):
+                for key in CORE_KEYS:
+                    if key not in v:
+                        continue
+                    if isinstance(v[key], str) and key != "data":
+                        return v[key]
+                    if key == "text":
+                        continue
+                    found = search(v[key], depth + 1)
+                    if found or key in ("answer", "content"):
+                        return found
+            return j.dumps(v, ensure_ascii=False, indent=2) if isinstance(v, (dict, list)) else str(v)
+
+        def read(text):
+            try:
+                return search(j.loads(text))
+            except ValueError:
+                return text
+
+        return texts.map(read, na_action="ignore")
+
+    core.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return F.pandas_udf(core, "string")(json)
 
 
 def clean_json(text: Column) -> Column:

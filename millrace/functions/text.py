@@ -113,9 +113,9 @@ def uptime(seconds: Column) -> Column:
 
 
 def language_share(text: Column) -> Column:
-    """Korean if at least three tenths of the letters are Hangul; no letters count as English."""
-    ko, latin = F.regexp_count(text, F.lit("[가-힣]")), F.regexp_count(text, F.lit("[a-zA-Z]"))
-    return F.when(F.coalesce(F.try_divide(ko.cast("double"), ko + latin), F.lit(0.0)) >= 0.3, "ko").otherwise("en")
+    """Korean if at least three tenths of all letters are Hangul syllables or compatibility letters; no letters count as English."""
+    ko, letters = F.regexp_count(text, F.lit("[가-힣ㄱ-ㆎ]")), F.regexp_count(text, F.lit(r"\p{L}"))
+    return F.when(F.coalesce(F.try_divide(ko.cast("double"), letters), F.lit(0.0)) >= 0.3, "ko").otherwise("en")
 
 
 def task_strategy(n_tasks: Column, has_dependencies: Column) -> Column:

@@ -1,7 +1,8 @@
 """Dependency graphs: levels, cycles, reductions and estimates; all graphs of a table at once.
 
-Each step joins the whole frontier, so the number of jobs follows the depth of the deepest graph, which
-`most` bounds; what has no level after that lies on or behind a cycle.
+Levels go by rounds until no task is new: a task's number of open dependencies falls by those that the round before
+settled, counted by aggregation, and the round's state is checkpointed, so that a lost executor costs one round and
+no plan grows. Reachability doubles its paths each round. Neither has a bound on depth.
 """
 
 from __future__ import annotations
@@ -9,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpoints
+
 KEY = ["dag_id", "task_id"]
 
 
@@ -18,23 +21,29 @@ def edges(dag: DataFrame) -> DataFrame:
     return e.join(dag.select("dag_id", F.col("task_id").alias("dep")).distinct(), ["dag_id", "dep"], "left_semi").select(*KEY, "dep")
 
 
-def levels(dag: DataFrame, most: int = 12) -> DataFrame:
+def settled(dag: DataFrame, rounds: int = 2) -> DataFrame:
+    """(dag_id, task_id, level): longest path from a root; null on or behind a cycle. `rounds` go into one job."""
+    checkpoints(dag.sparkSession)
+    e = edges(dag).checkpoint()
+    state = dag.select(*KEY).distinct().join(e.groupBy(*KEY).agg(F.count("*").alias("n")), KEY, "left")
+    state = state.select(*KEY, F.coalesce("n", F.lit(0)).alias("open"), F.when(F.col("n").isNull(), 0).alias("level")).checkpoint()
+    depth = 0
+    while not state.where(F.col("level") == depth).isEmpty():
+        for _ in range(rounds):
+            done = state.where(F.col("level") == depth).select("dag_id", F.col("task_id").alias("dep"))
+            told = e.join(done, ["dag_id", "dep"], "left_semi").groupBy(*KEY).agg(F.count("*").alias("n"))
+            left = F.col("open") - F.coalesce("n", F.lit(0))
+            depth += 1
+            state = state.join(told, KEY, "left").select(*KEY, left.alias("open"), F.coalesce("level", F.when(left == 0, depth)).alias("level"))
+        state = state.checkpoint()
+    return state.select(*KEY, "level")
+
+
+def levels(dag: DataFrame) -> DataFrame:
     """(dag_id, task_id, level): longest path from a root; tasks on or behind a cycle share the level after the last."""
-    e = edges(dag)
-    tasks = dag.select(*KEY).distinct()
-    done = tasks.join(e, KEY, "left_anti").withColumn("level", F.lit(0))
-    for depth in range(1, most + 1):
-        waiting = tasks.join(done, KEY, "left_anti")
-        blocked = e.join(done.select("dag_id", F.col("task_id").alias("dep")), ["dag_id", "dep"], "left_anti").select(*KEY)
-        ready = waiting.join(blocked, KEY, "left_anti").withColumn("level", F.lit(depth))
-        done = done.unionByName(ready)
-        if depth % 4 == 0:
-            done = done.cache()
-            if not tasks.join(done, KEY, "left_anti").limit(1).count() or done.where(F.col("level") == depth).limit(1).count() == 0:
-                break
-    last = done.groupBy("dag_id").agg((F.max("level") + 1).alias("last"))
-    rest = tasks.join(done, KEY, "left_anti").join(last, "dag_id", "left").select(*KEY, F.coalesce("last", F.lit(0)).alias("level"))
-    return done.unionByName(rest)
+    s = settled(dag)
+    last = s.groupBy("dag_id").agg(F.coalesce(F.max("level") + 1, F.lit(0)).alias("last"))
+    return s.join(last, "dag_id").select(*KEY, F.coalesce("level", "last").alias("level"))
 
 
 def time_estimate(dag: DataFrame) -> DataFrame:
@@ -43,13 +52,17 @@ def time_estimate(dag: DataFrame) -> DataFrame:
     return per.groupBy("dag_id").agg(F.round(F.sum("s"), 4).alias("sequential"), F.round(F.sum("m"), 4).alias("parallel"))
 
 
-def reachable(dag: DataFrame, most: int = 6) -> DataFrame:
-    """(dag_id, task_id, dep): all ancestors within `most` steps."""
-    e = edges(dag)
-    found, front = e, e
-    for _ in range(most - 1):
-        front = front.alias("f").join(e.alias("e"), (F.col("f.dag_id") == F.col("e.dag_id")) & (F.col("f.dep") == F.col("e.task_id"))).select("f.dag_id", "f.task_id", "e.dep").distinct()
-        found = found.unionByName(front).distinct()
+def reachable(dag: DataFrame) -> DataFrame:
+    """(dag_id, task_id, dep): which tasks on or behind a cycle depend on which, directly or not; no others can close one."""
+    stuck = settled(dag).where("level is null").select(*KEY)
+    found = edges(dag).join(stuck, KEY, "left_semi").join(stuck.withColumnRenamed("task_id", "dep"), ["dag_id", "dep"], "left_semi").select(*KEY, "dep").checkpoint()
+    size = found.count()
+    while size:
+        more = found.alias("f").join(found.alias("g"), (F.col("f.dag_id") == F.col("g.dag_id")) & (F.col("f.dep") == F.col("g.task_id"))).select("f.dag_id", "f.task_id", "g.dep")
+        found = found.unionByName(more).distinct().checkpoint()
+        before, size = size, found.count()
+        if size == before:
+            break
     return found
 
 
@@ -60,9 +73,8 @@ def cycles(dag: DataFrame) -> DataFrame:
 
 def remove_back_edges(dag: DataFrame) -> DataFrame:
     """Edges without those that close a cycle: between tasks that reach each other, the one from the later to the earlier id stays."""
-    r = reachable(dag)
-    back = edges(dag).alias("e").join(r.alias("r"), (F.col("e.dag_id") == F.col("r.dag_id")) & (F.col("e.dep") == F.col("r.task_id")) & (F.col("e.task_id") == F.col("r.dep")) & (F.col("e.task_id") <= F.col("e.dep")), "left_anti")
-    return back
+    back = reachable(dag).where("task_id >= dep").select("dag_id", F.col("task_id").alias("dep"), F.col("dep").alias("task_id"))
+    return edges(dag).join(back, [*KEY, "dep"], "left_anti").select(*KEY, "dep")
 
 
 def transitive_reduction(dag: DataFrame) -> DataFrame:

@@ -55,8 +55,12 @@ def stage_output(log: DataFrame, width: int = 3) -> DataFrame:
     return g.select("workflow_id", "stage", F.when(F.size("ok") == 0, F.lit(None)).otherwise(F.array_join(F.col("ok.agent_id"), "|")).alias("output"), (F.col("n") == F.col("n_ok")).alias("all_ok"))
 
 
-def last_success(log: DataFrame) -> DataFrame:
-    return log.where("success").groupBy("workflow_id").agg(F.max_by("agent_id", "pos").alias("output"))
+def last_success(log: DataFrame, width: int = 3) -> DataFrame:
+    """The last successful output that is not empty of each workflow's last stage, null if that stage has none."""
+    stage = F.floor((F.col("pos") - 1) / width)
+    s = log.select("workflow_id", "pos", stage.alias("stage"), F.when(F.col("success"), F.nullif("agent_id", F.lit(""))).alias("output"))
+    per = s.groupBy("workflow_id", "stage").agg(F.max_by("output", F.when(F.col("output").isNotNull(), F.col("pos"))).alias("output"))
+    return per.groupBy("workflow_id").agg(F.max_by("output", "stage").alias("output"))
 
 
 def combined(log: DataFrame) -> DataFrame:

@@ -25,6 +25,22 @@ AGENTS = [
     ("currency_exchange_agent", "query", "json", 45, ["환율", "통화", "달러", "엔화", "유로", "exchange", "currency", "USD", "EUR", "JPY"]),
 ]
 
+#: Capabilities of the built-in agents.
+CAPABILITIES = {
+    "internet_agent": ["web_search", "real_time_data", "news_search", "price_lookup"],
+    "weather_agent": ["weather_forecast", "current_weather", "temperature", "humidity", "air_quality", "weekly_forecast"],
+    "analysis_agent": ["data_analysis", "number_extraction", "trend_analysis", "statistical_calculation", "data_structuring"],
+    "data_visualization_agent": ["chart_generation", "graph_creation", "table_creation", "svg_generation", "data_visualization"],
+    "llm_search_agent": ["question_answering", "explanation", "summarization", "concept_explanation", "comparison_analysis"],
+    "samsung_gateway_agent": ["samsung_data_access", "semiconductor_analysis", "internal_data_query", "fab_data", "yield_analysis"],
+    "shopping_agent": ["product_search", "price_comparison", "shopping_recommendation", "deal_finder"],
+    "scheduler_agent": ["schedule_management", "calendar_access", "event_creation", "event_query", "reminder_setting"],
+    "calculator_agent": ["math_calculation", "unit_conversion", "currency_conversion", "percentage_calculation"],
+    "code_generation_agent": ["code_generation", "code_analysis", "bug_fixing", "code_explanation", "optimization", "algorithm_implementation"],
+    "rag_search_agent": ["document_search", "vector_search", "context_retrieval", "document_qa"],
+    "currency_exchange_agent": ["exchange_rate", "currency_conversion", "real_time_rate", "rate_history", "multi_currency"],
+}
+
 #: plan, stage, place in the stage, agent, input_from, stage's execution type
 PLAN_TASKS = [
     ("ok", 1, 0, "internet_agent", [], "parallel"),
@@ -66,7 +82,7 @@ DAG = [
 TEXTS = [
     "서울 날씨 알려줘", "삼성전자 주가와 환율 비교 분석해줘", "build an agent for me", "Compare weather in Paris vs London, then chart it",
     "먼저 환율을 계산하고 다음 차트를 그려줘", "", "a", "create me an agent that books flights", "what is 1,234.5 plus 2024-01-15 and 2024/02/03?",
-    "코드 버그 고쳐줘 그리고 쇼핑 가격 알려줘",
+    "코드 버그 고쳐줘 그리고 쇼핑 가격 알려줘", "ㅋㅋ what ok", "ㅎㅎ été naïve", "주가 차트를 빠르게 보여줘", "여행 일정과 맛집을 추천해줘, 날씨도 알려줘", "12 + 30.5 계산해줘, 지금", "first search the web then create a flowchart of the process",
 ]
 
 
@@ -167,6 +183,15 @@ def agents(spark: SparkSession) -> DataFrame:
 AGENTS_SQL = "agents(seq, agent_id, input_type, output_type, priority, tags) AS (VALUES " + ", ".join(f"({i}, '{a}', '{x}', '{y}', {p}, {t})" for i, (a, x, y, p, t) in enumerate(AGENTS)) + ")"
 
 
+def registry(spark: SparkSession) -> DataFrame:
+    """The agents with their capabilities and whether they are available (the built-in ones all are, but for one here)."""
+    rows = [(i, a[0], a[3], a[4], CAPABILITIES[a[0]], a[0] != "shopping_agent") for i, a in enumerate(AGENTS)]
+    return spark.createDataFrame(rows, "seq int, agent_id string, priority int, tags array<string>, capabilities array<string>, is_available boolean")
+
+
+REGISTRY_SQL = "registry(seq, agent_id, priority, tags, capabilities, is_available) AS (VALUES " + ", ".join(f"({i}, '{a[0]}', {a[3]}, {a[4]}, {CAPABILITIES[a[0]]}, {a[0] != 'shopping_agent'})" for i, a in enumerate(AGENTS)) + ")"
+
+
 def plan_tasks(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(PLAN_TASKS, "plan_id string, stage_id int, pos int, agent_id string, input_from array<string>, execution_type string")
 
@@ -174,11 +199,26 @@ def plan_tasks(spark: SparkSession) -> DataFrame:
 PLAN_TASKS_SQL = "plan_tasks(plan_id, stage_id, pos, agent_id, input_from, execution_type) AS (VALUES " + ", ".join(f"('{p}', {s}, {k}, '{a}', {i}::VARCHAR[], '{x}')" for p, s, k, a, i, x in PLAN_TASKS) + ")"
 
 
-def dag(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, *r) for i, r in enumerate(DAG)], "seq int, dag_id string, task_id string, depends_on array<string>, est_time double")
-
-
-DAG_SQL = "dag(seq, dag_id, task_id, depends_on, est_time) AS (VALUES " + ", ".join(f"({i}, '{g}', '{t}', {x}::VARCHAR[], CAST({s} AS DOUBLE))" for i, (g, t, x, s) in enumerate(DAG)) + ")"
+def dag(spark: SparkSession, d: str) -> DataFrame:
+    """Fixed graphs, then one for each user of the events: most events depend on the one before, some on the one before
+    that, some on the next (cycles), on themselves or on nobody's."""
+    fixed = spark.createDataFrame([(i, *r) for i, r in enumerate(DAG)], "seq long, dag_id string, task_id string, depends_on array<string>, est_time double")
+    e = read(spark, d, "events").withColumn("pos", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
+    i, pos = F.col("event_id"), F.col("pos")
+    task = lambda n: F.concat(F.lit("t"), n.cast("string"))
+    deps = F.array_compact(F.array(
+        F.when((i % 3 != 0) & (pos > 1), task(pos - 1)), F.when((F.col("event_type") == "click") & (pos > 2), task(pos - 2)),
+        F.when(i % 17 == 0, task(pos + 1)), F.when(i % 23 == 0, F.lit("nobody")), F.when(i % 41 == 0, task(pos)),
+    ))
+    return fixed.unionByName(e.select((100 + i).alias("seq"), F.concat(F.lit("u"), "user_id").alias("dag_id"), task(pos).alias("task_id"), deps.alias("depends_on"), (1.0 + i % 30).alias("est_time")))
+
+
+DAG_SQL = (
+    "dag(seq, dag_id, task_id, depends_on, est_time) AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{g}', '{t}', {x}::VARCHAR[], CAST({s} AS DOUBLE))" for i, (g, t, x, s) in enumerate(DAG)) + ") AS f "
+    "UNION ALL SELECT 100 + event_id, 'u' || user_id, 't' || pos, list_filter([CASE WHEN event_id % 3 <> 0 AND pos > 1 THEN 't' || (pos - 1) END, CASE WHEN event_type = 'click' AND pos > 2 THEN 't' || (pos - 2) END, "
+    "CASE WHEN event_id % 17 = 0 THEN 't' || (pos + 1) END, CASE WHEN event_id % 23 = 0 THEN 'nobody' END, CASE WHEN event_id % 41 = 0 THEN 't' || pos END], lambda x: x IS NOT NULL), 1.0 + event_id % 30 "
+    "FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM events) AS e)"
+)
 
 
 def q_texts(spark: SparkSession, d: str) -> DataFrame:

@@ -59,6 +59,23 @@ def test_shortest_paths_have_no_bound(spark):
     assert sorted(tuple(r) for r in out) == [("n0", "n0", 0), ("n0", "n9", 8)]
 
 
+def test_graphs_of_any_depth(spark):
+    """A chain of 50, a cycle of 20 with a chain behind it, and a root beside it."""
+    from millrace.operators import dag as dg
+
+    rows = [("chain", f"c{i}", [f"c{i - 1}"] if i else [], 1.0) for i in range(50)]
+    rows += [("ring", f"r{i:02}", [f"r{(i - 1) % 20:02}"], 1.0) for i in range(20)] + [("ring", f"s{i}", [f"s{i - 1}" if i else "r00"], 1.0) for i in range(10)] + [("ring", "free", [], 1.0)]
+    dag = spark.createDataFrame(rows, "dag_id string, task_id string, depends_on array<string>, est_time double")
+    level = {(r.dag_id, r.task_id): r.level for r in dg.levels(dag).collect()}
+    assert all(level["chain", f"c{i}"] == i for i in range(50))
+    assert {v for k, v in level.items() if k[0] == "ring" and k[1] != "free"} == {1} and level["ring", "free"] == 0
+    assert {tuple(r) for r in dg.cycles(dag).collect()} == {("ring", f"r{i:02}") for i in range(20)}
+    kept = {tuple(r) for r in dg.remove_back_edges(dag).collect()}
+    assert ("ring", "r00", "r19") not in kept and ("ring", "r05", "r04") in kept and len(kept) == 49 + 19 + 10
+    acyclic = spark.createDataFrame([("ring", a, [b], 1.0) for _, a, b in kept if _ == "ring"] + [("ring", "r00", [], 1.0)], dag.schema)
+    assert dg.cycles(acyclic).isEmpty()
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
