@@ -9,8 +9,9 @@ Keys with over a fixed share of all lines never enter that sort: their counts co
 and as there can be at most HOT of them, they are broadcast.
 
 Nulls: a null text is one empty line. Documents are rows: rows that repeat doc_id and text count as
-separate documents and get equal bitmaps. Keys shorter than min_chars are always kept. Extra columns stay.
-An empty table gives an empty result.
+separate documents and get equal bitmaps. Keys shorter than min_chars are always kept. Ties (a key more than once
+in a document, or first in equal rows) fall by position and count once a document. Texts of any length are split
+whole. Extra columns stay, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import ascii_lower, identity, scratch
+from ._common import ascii_lower, fresh, identity, scratch
 
 STRIPPED = " \t\n\x0b\x0c\r"
 HOT = 2048
@@ -79,13 +80,15 @@ def repeated_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep
     return drops.select("rid", "rid2", F.zip_with(starts, ends, lambda a, z: F.struct(a.alias("start"), (z - a + 1).alias("length"))).alias("dropped"))
 
 
-def line_keep(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False) -> DataFrame:
-    """docs with the column dropped: array<struct<start, length>>, empty where all lines stay."""
+def line_keep(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, name: str = "__dropped") -> DataFrame:
+    """docs with a column of that name: array<struct<start, length>>, empty where all lines stay; it replaces one of docs."""
+    docs = docs.drop(name)
     bitmaps = scratch(repeated_lines(docs, min_docs, min_chars, keep_first), "bitmaps")
-    tagged = docs.select(*docs.columns, *(c.alias(f"__{n}") for n, c in zip(("rid", "rid2"), identity("doc_id", "text"), strict=True)))
-    bitmaps = bitmaps.select(F.col("rid").alias("__rid"), F.col("rid2").alias("__rid2"), F.col("dropped").alias("__dropped"))
+    a, b = fresh(docs, "__rid", "__rid2")
+    tagged = docs.select(*docs.columns, *(c.alias(n) for n, c in zip((a, b), identity("doc_id", "text"), strict=True)))
+    bitmaps = bitmaps.select(F.col("rid").alias(a), F.col("rid2").alias(b), F.col("dropped").alias(name))
     none = F.array().cast("array<struct<start:int,length:int>>")
-    return tagged.join(bitmaps, ["__rid", "__rid2"], "left").withColumn("__dropped", F.coalesce("__dropped", none)).drop("__rid", "__rid2")
+    return tagged.join(bitmaps, [a, b], "left").withColumn(name, F.coalesce(name, none)).select(*docs.columns, name)
 
 
 def apply_keep(text, dropped):

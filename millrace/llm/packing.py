@@ -9,7 +9,8 @@ capacity, not on the number of documents. A piece finds its place by its length
 pieces of that length; ranks are counted within partitions and then moved by the earlier partitions' counts.
 
 Nulls: a null text is empty, a document of the end id alone. A null doc_id stays null. Repeated rows are
-packed each. Extra columns are ignored. An empty table gives an empty result.
+packed each. Ties: pieces of one length are alike to the plan and take their places in order of their partition. A text
+of any length is tokenised whole. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -16,8 +16,9 @@ compared, and larger groups cost time in proportion to their size.
 
 Nulls: a null text is empty; a text without words has the fingerprint 0 and is linked like any other. A null
 doc_id keeps its row, never names a component while another id is there, and else gives null. Repeated rows
-stay repeated. Extra columns are ignored by `fingerprints`, kept by `drop_near_copies`. Empty tables give
-empty results.
+stay repeated. Ties: a bit that half of the hashes have is 0; of equal doc_ids the smaller text hash stays. Texts
+of any length are worked through whole. Extra columns are ignored by `fingerprints`, kept by `drop_near_copies`,
+whatever their names. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import components, identity, in_arrow, scratch
+from ._common import components, fresh, identity, in_arrow, scratch
 
 SEGMENTS, WIDTH, MOST = 16, 4, 3
 BLOCK = 1 << 16
@@ -204,8 +205,9 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, most: int = MOST, jaccar
     """docs with one row for each component: of its rows with the smallest doc_id (nulls last) the one with the smallest text hash."""
     found = near_copies(docs, shingle, most, jaccard)
     best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "rid", "rid2")).alias("m"))
-    keep = scratch(best.select(F.col("m.rid").alias("__rid"), F.col("m.rid2").alias("__rid2")).distinct(), "kept")
-    tagged = docs.select(*docs.columns, *(c.alias(f"__{n}") for n, c in zip(("rid", "rid2"), identity("doc_id", "text"), strict=True)))
-    one = tagged.join(keep, ["__rid", "__rid2"], "left_semi")
+    a, b = fresh(docs, "__rid", "__rid2")
+    keep = scratch(best.select(F.col("m.rid").alias(a), F.col("m.rid2").alias(b)).distinct(), "kept")
+    tagged = docs.select(*docs.columns, *(c.alias(n) for n, c in zip((a, b), identity("doc_id", "text"), strict=True)))
+    one = tagged.join(keep, [a, b], "left_semi")
     # rows that repeat both doc_id and text: one of them
-    return one.dropDuplicates(["__rid", "__rid2"]).drop("__rid", "__rid2")
+    return one.dropDuplicates([a, b]).select(*docs.columns)

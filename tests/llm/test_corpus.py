@@ -626,6 +626,27 @@ def test_blocks_decode_references():
     assert html_extraction.blocks("<main><p>&eacute;&#39;&#x4e2d;</p></main>") == [("content", html.unescape("&eacute;&#39;&#x4e2d;"))]
 
 
+def test_stages_keep_clashing_columns(spark, tmp_path):
+    """Columns with the stages' own names, nulls in any column, repeated rows, empty and very long texts."""
+    import corpus_pipeline
+
+    odd = ["__score", "__spans", "__dropped", "__rid", "__rid2", "rid", "score", "fp"]
+    long = " ".join(f"w{i}" for i in range(30_000))
+    texts = ["one two three", None, "", long, "bad vilify word here", "one two three", "plain\nlines\nhere"]
+    rows = [(i, t, None, None, None, *(f"{c}{i}" for c in odd)) for i, t in enumerate(texts)] + [(None, "null id", "en", "s", 1, *odd), (0, texts[0], None, None, None, *(f"{c}0" for c in odd))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in odd))
+    spark.createDataFrame([(4, 1, 1), (0, 1, 0), (None, None, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "nothing of this is anywhere at all")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        docs = out.cache()
+        assert all(r[c] in (c, f"{c}{r.doc_id}") for r in docs.collect() for c in odd)
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    left = docs.collect()
+    assert sum(r.text == "one two three" for r in left) == 1 and any(r.text == long for r in left) and any(r.doc_id is None for r in left)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
