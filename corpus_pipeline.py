@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; run() writes each
 stage's rows to the shared folder and reads them back.
+
+All stages keep rows with null columns (a null text counts as empty), extra columns whatever their names, and texts of
+any length whole. Rows that repeat doc_id and text stay through the first two stages; near-dedup makes one of them. Of
+texts that tie for a group the one with the smallest doc_id stays, nulls last. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -10,23 +14,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, line_dedup, packing, queries, simhash, toxicity
-from millrace.llm._common import scratch, table
+from millrace.llm._common import fresh, scratch, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below one half; the model learns from the labelled rows among docs."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, model, names=("__score", "__spans"))
-    return scored.where(F.col("__score") < 0.5).drop("__score", "__spans")
+    names = fresh(docs, "__score", "__spans")
+    scored = toxicity.score(docs, model, names=tuple(names))
+    return scored.where(F.col(names[0]) < 0.5).select(*docs.columns)
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; of the lines that ten or more of them share only the first stays, in order of doc_id, so that no
     text leaves the corpus altogether. A document may end up empty; the next stage makes one of all such."""
-    kept = line_dedup.line_keep(docs, min_docs=10, min_chars=1, keep_first=True)
-    text = F.when(F.size("__dropped") == 0, F.col("text")).otherwise(line_dedup.apply_keep(F.col("text"), F.col("__dropped")))
-    changed = F.when(F.size("__dropped") == 0, F.col("n_chars")).otherwise(F.length(text))
-    return kept.withColumns({"text": text, "n_chars": changed.cast("long")}).drop("__dropped")
+    (dropped,) = fresh(docs, "__dropped")
+    kept = line_dedup.line_keep(docs, min_docs=10, min_chars=1, keep_first=True, name=dropped)
+    text = F.when(F.size(dropped) == 0, F.col("text")).otherwise(line_dedup.apply_keep(F.col("text"), F.col(dropped)))
+    changed = F.when(F.size(dropped) == 0, F.col("n_chars")).otherwise(F.length(text))
+    return kept.withColumns({"text": text, "n_chars": changed.cast("long")}).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
