@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
 #: Bytes of text that the numpy kernels hold at once; a dozen temporary arrays of eight bytes a byte follow.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 #: Bytes after which a long row is divided behind any separator, where a better place was asked for and not found.
 REACH = 16 << 20
 

@@ -169,18 +169,21 @@ def alike(rows: DataFrame, docs: DataFrame, shingle: int, jaccard: float, known:
     shared = listed.groupBy("k", "part").agg(F.count("*").alias("n")).where("n > 1").select("k", "part")
     listed = scratch(listed.join(shared, ["k", "part"]), "shared-bands")
 
-    def met(w, *others):
-        o = listed.withColumn("o", F.array(*(x.over(w) for x in others))).withColumn("o", F.explode("o")).where("o is not null")
-        return o.select("rid", "fp", F.col("o.rid").alias("other"), F.col("o.fp").alias("ofp")).where("fp <> ofp")
+    def met(rows, w, me, *others):
+        o = rows.withColumn("o", F.array(*(x.over(w) for x in others))).withColumn("o", F.explode("o")).where("o is not null")
+        return o.select("rid", "fp", F.col("o.rid").alias("other"), F.col("o.fp").alias("ofp"), *(F.col(x) for x in me), *(F.col(f"o.{x}").alias(f"o{x}") for x in me)).where("fp <> ofp")
 
     me = F.struct("rid", "fp")
-    found = known.unionByName(_check(met(Window.partitionBy("k", "part").orderBy("rid"), F.first(me), F.lag(me, 1)), docs, shingle, jaccard))
+    found = known.unionByName(_check(met(listed, Window.partitionBy("k", "part").orderBy("rid"), (), F.first(me), F.lag(me, 1)), docs, shingle, jaccard))
     found = scratch(found, "found")
     root = components(found, "alike").select(F.col("id").alias("fp"), F.col("component").alias("root"))
-    pairs = met(Window.partitionBy("k", "part").orderBy(F.xxhash64("k", "rid"), "rid"), *(F.lag(me, i) for i in range(1, NEIGHBOURS + 1)))
-    pairs = scratch(pairs.distinct(), "neighbours").join(root, "fp", "left").join(root.select(F.col("fp").alias("ofp"), F.col("root").alias("oroot")), "ofp", "left")
-    pairs = pairs.where(F.coalesce("root", "fp") != F.coalesce("oroot", "ofp"))
-    return found.unionByName(_check(pairs.select("rid", "fp", "other", "ofp"), docs, shingle, jaccard))
+    # of the bands only those whose texts are not all in one component yet: groups of copies are gone here, whatever their size
+    rooted = scratch(listed.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted-bands")
+    mixed = rooted.groupBy("k", "part").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("k", "part")
+    rooted = scratch(rooted.join(mixed, ["k", "part"], "left_semi"), "mixed-bands")
+    me = F.struct("rid", "fp", "root")
+    pairs = met(rooted, Window.partitionBy("k", "part").orderBy(F.xxhash64("k", "rid"), "rid"), ("root",), *(F.lag(me, i) for i in range(1, NEIGHBOURS + 1)))
+    return found.unionByName(_check(pairs.where("root <> oroot").select("rid", "fp", "other", "ofp"), docs, shingle, jaccard))
 
 
 def near_copies(docs: DataFrame, shingle: int = 5, most: int = MOST, jaccard: float | None = None) -> DataFrame:
