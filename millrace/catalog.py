@@ -539,4 +539,4 @@ def stream_ema(spark: S, d: str) -> D:
     return ev.drain(ev.ema_state(ev.event_stream(spark, d)), "update")
 
 
-from . import catalog_matching, catalog_readers, catalog_registry, catalog_results, catalog_selection, catalog_texts  # noqa: E402, F401
+from . import catalog_matching, catalog_registry, catalog_results, catalog_selection, catalog_texts  # noqa: E402, F401
