@@ -9,10 +9,12 @@ full Hamming check, inside the join: only links leave it. Equal fingerprints are
 
 Fingerprints of texts at 0.8 Jaccard differ in 7 to 10 bits on average, too many for any list of agreeing bits.
 So `alike` brings texts together by BANDS bands of BAND min-hashes of their shingles (one band at least for 0.9996 of
-the pairs at 0.8) and checks the exact Jaccard similarity of the shingle sets. Texts that share a band are first
-compared with the band's first and the one before; then, where that left them in different components, with the
-NEIGHBOURS before them in an order of its own for each band. Up to NEIGHBOURS + 1 texts in a band are thus all
-compared, and larger groups cost time in proportion to their size.
+the pairs at 0.8) and checks the exact Jaccard similarity of the shingle sets. A sketch, one bit of each min-hash,
+drops pairs before that: at 0.8 a tenth of the bits differ on average, and ROUGH bits or more for less than one pair in
+200,000. Only bands whose texts are not all in one component are worked on. Each of their texts is first compared with
+the least text it shares a band with; then each two components that still meet, by their closest pair; then all pairs
+that meet and are in different components. The largest component of a band is compared with the others only, never
+with itself, so a group of copies costs time in proportion to its size.
 
 Nulls: a null text is empty; a text without words has the fingerprint 0 and is linked like any other. A null
 doc_id keeps its row, never names a component while another id is there, and else gives null. Repeated rows
@@ -26,14 +28,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import components, fresh, identity, in_arrow, scratch
 
 SEGMENTS, WIDTH, MOST = 16, 4, 3
 BLOCK = 1 << 16
-BANDS, BAND, NEIGHBOURS = 20, 5, 16
+BANDS, BAND, ROUGH = 20, 5, 26
 
 
 def hashes(text: str | None, shingle: int):
@@ -60,8 +62,8 @@ def fingerprint(blocks) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
 
 
-def bands(blocks) -> list[int]:
-    """A hash of each band of min-hashes; none for a text without words."""
+def bands(blocks) -> tuple[list[int], int, int]:
+    """A hash of each band of min-hashes, and a bit of each of them in two words; no bands for a text without words."""
     least = None
     odd = np.random.default_rng(20240611).integers(1, 2**63, BANDS * BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     for h in blocks:
@@ -70,15 +72,19 @@ def bands(blocks) -> list[int]:
             low = (x ^ (x >> np.uint64(29))).min(axis=0)
             least = low if least is None else np.minimum(least, low)
     if least is None:
-        return []
-    b = (least * odd[::-1]).reshape(BANDS, BAND).sum(axis=1, dtype=np.uint64)
-    return (b ^ (b >> np.uint64(31))).view(np.int64).tolist()
+        return [], 0, 0
+    mixed = least * odd[::-1]
+    b = mixed.reshape(BANDS, BAND).sum(axis=1, dtype=np.uint64)
+    bits = np.zeros(128, np.uint8)
+    bits[: BANDS * BAND] = mixed >> np.uint64(63)
+    one, two = np.packbits(bits).view(np.int64).tolist()
+    return (b ^ (b >> np.uint64(31))).view(np.int64).tolist(), one, two
 
 
 def fingerprints(docs: DataFrame, shingle: int = 5, banded: bool = False) -> DataFrame:
     """(doc_id, rid, rid2, fp): a signed 64-bit fingerprint of each whole text; rid and rid2 identify doc_id and text.
 
-    If banded, also digest, a hash of all shingles with their repeats, and bands.
+    If banded, also digest, a hash of all shingles with their repeats, bands and the sketch's words s1 and s2.
     """
 
     def batches(it):
@@ -90,11 +96,11 @@ def fingerprints(docs: DataFrame, shingle: int = 5, banded: bool = False) -> Dat
                 if banded:
                     digests.append(int(sum((h.sum(dtype=np.uint64) for h in blocks), np.uint64(0)).view(np.int64)))
                     found.append(bands(blocks))
-            more = [pa.array(digests, pa.int64()), pa.array(found, pa.list_(pa.int64()))] if banded else []
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(fps, pa.int64()), *more], names=["doc_id", "rid", "rid2", "fp", "digest", "bands"][: 4 + len(more)])
+            more = [pa.array(digests, pa.int64()), pa.array([x[0] for x in found], pa.list_(pa.int64())), *(pa.array([x[i] for x in found], pa.int64()) for i in (1, 2))] if banded else []
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(fps, pa.int64()), *more], names=["doc_id", "rid", "rid2", "fp", "digest", "bands", "s1", "s2"][: 4 + len(more)])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    more = ", digest long, bands array<long>" if banded else ""
+    more = ", digest long, bands array<long>, s1 long, s2 long" if banded else ""
     return docs.select("doc_id", *identity("doc_id", "text"), "text").transform(in_arrow, batches, f"doc_id {kind}, rid long, rid2 long, fp long{more}")
 
 
@@ -164,26 +170,41 @@ def alike(rows: DataFrame, docs: DataFrame, shingle: int, jaccard: float, known:
 
     Texts that are in one component anyway need not be linked to each other.
     """
-    texts = rows.where(F.size("bands") > 0).groupBy("fp", "digest").agg(F.min("rid").alias("rid"), F.first("bands").alias("bands"))
-    listed = scratch(texts.select("rid", "fp", F.posexplode("bands").alias("k", "part")), "bands")
-    shared = listed.groupBy("k", "part").agg(F.count("*").alias("n")).where("n > 1").select("k", "part")
-    listed = scratch(listed.join(shared, ["k", "part"]), "shared-bands")
-
-    def met(rows, w, me, *others):
-        o = rows.withColumn("o", F.array(*(x.over(w) for x in others))).withColumn("o", F.explode("o")).where("o is not null")
-        return o.select("rid", "fp", F.col("o.rid").alias("other"), F.col("o.fp").alias("ofp"), *(F.col(x) for x in me), *(F.col(f"o.{x}").alias(f"o{x}") for x in me)).where("fp <> ofp")
-
-    me = F.struct("rid", "fp")
-    found = known.unionByName(_check(met(listed, Window.partitionBy("k", "part").orderBy("rid"), (), F.first(me), F.lag(me, 1)), docs, shingle, jaccard))
-    found = scratch(found, "found")
-    root = components(found, "alike").select(F.col("id").alias("fp"), F.col("component").alias("root"))
-    # of the bands only those whose texts are not all in one component yet: groups of copies are gone here, whatever their size
-    rooted = scratch(listed.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted-bands")
-    mixed = rooted.groupBy("k", "part").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("k", "part")
-    rooted = scratch(rooted.join(mixed, ["k", "part"], "left_semi"), "mixed-bands")
-    me = F.struct("rid", "fp", "root")
-    pairs = met(rooted, Window.partitionBy("k", "part").orderBy(F.xxhash64("k", "rid"), "rid"), ("root",), *(F.lag(me, i) for i in range(1, NEIGHBOURS + 1)))
-    return found.unionByName(_check(pairs.where("root <> oroot").select("rid", "fp", "other", "ofp"), docs, shingle, jaccard))
+    texts = scratch(rows.where(F.size("bands") > 0).groupBy("fp", "digest").agg(F.min("rid").alias("rid"), *(F.first(c).alias(c) for c in ("bands", "s1", "s2"))), "texts")
+    listed = scratch(texts.select(F.posexplode("bands").alias("k", "part"), "rid"), "bands")
+    shared = listed.groupBy("k", "part").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi")).where("lo <> hi").select("k", "part")
+    listed = scratch(listed.join(shared, ["k", "part"], "left_semi"), "shared-bands")
+    texts = texts.select("rid", "fp", "s1", "s2")
+
+    def mixed(found: DataFrame) -> DataFrame:
+        """(k, part, t, big): the texts of the bands that hold several components, and the band's largest component."""
+        root = components(found, "alike").select(F.col("id").alias("fp"), F.col("component").alias("root"))
+        rooted = scratch(texts.join(root, "fp", "left").select("rid", F.struct("rid", "fp", F.coalesce("root", "fp").alias("root"), "s1", "s2").alias("t")), "rooted")
+        rooted = scratch(listed.join(rooted, "rid").drop("rid"), "rooted-bands")
+        sizes = rooted.groupBy("k", "part", "t.root").agg(F.count("*").alias("n"))
+        several = sizes.groupBy("k", "part").agg(F.max(F.struct("n", "root")).alias("big"), F.count("*").alias("roots")).where("roots > 1").select("k", "part", F.col("big.root").alias("big"))
+        return scratch(rooted.join(several, ["k", "part"]), "mixed-bands")
+
+    far = sum(F.bit_count(F.col(f"t.{s}").bitwiseXOR(F.col(f"o.{s}"))) for s in ("s1", "s2"))
+    apart = (F.col("t.root") != F.col("o.root")) & (far < ROUGH)
+    pair = [F.col("t.rid"), F.col("t.fp"), F.col("o.rid").alias("other"), F.col("o.fp").alias("ofp")]
+
+    def check(found: DataFrame, pairs: DataFrame) -> DataFrame:
+        return scratch(found.unionByName(_check(pairs, docs, shingle, jaccard)), "found")
+
+    def meetings(rows: DataFrame) -> DataFrame:
+        """The pairs of texts of different components in a band; of the largest component only with the others."""
+        a, b = rows.where("t.root <> big").alias("a"), rows.withColumnRenamed("t", "o").alias("b")
+        met = (F.col("a.k") == F.col("b.k")) & (F.col("a.part") == F.col("b.part")) & ((F.col("o.root") == F.col("b.big")) | (F.col("t.rid") < F.col("o.rid")))
+        return a.join(b, met & apart).select("t", "o", far.alias("far"))
+
+    band = mixed(known)
+    least = scratch(band.groupBy("k", "part").agg(F.min("t").alias("o")), "least")
+    found = check(known, band.drop("big").join(least, ["k", "part"]).where(apart).groupBy("t").agg(F.min("o").alias("o")).select(*pair))
+    lower, upper = F.least("t.root", "o.root").alias("lower"), F.greatest("t.root", "o.root").alias("upper")
+    closest = meetings(mixed(found)).groupBy(lower, upper).agg(F.min(F.struct("far", "t", "o")).alias("m"))
+    found = check(found, closest.select("m.*").select(*pair))
+    return check(found, meetings(mixed(found)).select(*pair))
 
 
 def near_copies(docs: DataFrame, shingle: int = 5, most: int = MOST, jaccard: float | None = None) -> DataFrame:

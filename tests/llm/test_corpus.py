@@ -198,7 +198,10 @@ def test_near_dedup_catches_edited_copies(spark, empty):
 
     bases = [g.choices(vocabulary, k=g.randint(80, 400)) for _ in range(30)]
     texts = bases + [edited(b, max(1, len(b) // 60)) for b in bases] + [edited(b, len(b) // 12) for b in bases[:10]]
-    texts += [edited(bases[0], 2) for _ in range(40)]  # more than one band's neighbours
+    texts += [edited(bases[0], 2) for _ in range(40)]
+    form = g.choices(vocabulary, k=400)  # a form filled in: texts that share bands with many others, each with one near copy
+    filled = [edited(form, 30) for _ in range(60)]
+    texts += filled + [edited(t, 2) for t in filled]
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)] + [(900, None), (901, ""), (902, "a b")], "doc_id long, text string")
     sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
     parent = list(range(len(texts)))
