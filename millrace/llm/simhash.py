@@ -36,6 +36,8 @@ from ._common import components, fresh, identity, in_arrow, scratch
 SEGMENTS, WIDTH, MOST = 16, 4, 3
 BLOCK = 1 << 16
 BANDS, BAND, ROUGH = 20, 5, 26
+#: Identities that are broadcast at most; more of them are shuffled with the texts.
+SMALL = 1 << 20
 
 
 def hashes(text: str | None, shingle: int):
@@ -141,6 +143,11 @@ def links(fps: DataFrame, most: int = MOST) -> DataFrame:
     return a.join(b, met & (first == F.col("a.k")) & (F.bit_count(x) <= most)).select(F.col("a.fp").alias("src"), F.col("b.fp").alias("dst"))
 
 
+def _if_small(rows: DataFrame) -> DataFrame:
+    """rows (a written table of identities), to be broadcast if there are SMALL or fewer of them."""
+    return F.broadcast(rows) if rows.limit(SMALL + 1).count() <= SMALL else rows
+
+
 def _shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     """(rid, grams): the distinct shingles of the wanted texts, as hashes."""
 
@@ -149,15 +156,14 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame
             sets = [np.unique(np.concatenate(list(hashes(x.as_py(), shingle)))).view(np.int64) for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["rid", "grams"])
 
-    texts = docs.select(identity("doc_id", "text")[0], "text").join(wanted, "rid", "left_semi").dropDuplicates(["rid"])
+    texts = docs.select(identity("doc_id", "text")[0], "text").join(_if_small(wanted), "rid", "left_semi").dropDuplicates(["rid"])
     return texts.transform(in_arrow, batches, "rid long, grams array<long>")
 
 
-def _check(pairs: DataFrame, docs: DataFrame, shingle: int, jaccard: float) -> DataFrame:
+def _check(pairs: DataFrame, sets: DataFrame, jaccard: float) -> DataFrame:
     """(src, dst): fingerprints of the pairs (rid, fp, other, ofp) of texts whose shingle sets are that similar."""
     pairs = pairs.select(F.least("rid", "other").alias("rid"), F.greatest("rid", "other").alias("other"), F.least("fp", "ofp").alias("src"), F.greatest("fp", "ofp").alias("dst"))
     pairs = scratch(pairs.groupBy("rid", "other").agg(F.first("src").alias("src"), F.first("dst").alias("dst")), "pairs")
-    sets = scratch(_shingle_sets(docs, pairs.select(F.explode(F.array("rid", "other")).alias("rid")).distinct(), shingle), "sets")
     both = pairs.join(sets, "rid").join(sets.select(F.col("rid").alias("other"), F.col("grams").alias("others")), "other")
     a, b = F.size("grams"), F.size("others")
     both = both.where(F.least(a, b) >= jaccard * F.greatest(a, b))
@@ -190,7 +196,7 @@ def alike(rows: DataFrame, docs: DataFrame, shingle: int, jaccard: float, known:
     pair = [F.col("t.rid"), F.col("t.fp"), F.col("o.rid").alias("other"), F.col("o.fp").alias("ofp")]
 
     def check(found: DataFrame, pairs: DataFrame) -> DataFrame:
-        return scratch(found.unionByName(_check(pairs, docs, shingle, jaccard)), "found")
+        return scratch(found.unionByName(_check(pairs, sets, jaccard)), "found")
 
     def meetings(rows: DataFrame) -> DataFrame:
         """The pairs of texts of different components in a band; of the largest component only with the others."""
@@ -198,7 +204,8 @@ def alike(rows: DataFrame, docs: DataFrame, shingle: int, jaccard: float, known:
         met = (F.col("a.k") == F.col("b.k")) & (F.col("a.part") == F.col("b.part")) & ((F.col("o.root") == F.col("b.big")) | (F.col("t.rid") < F.col("o.rid")))
         return a.join(b, met & apart).select("t", "o", far.alias("far"))
 
-    band = mixed(known)
+    band = mixed(known)  # later rounds have no other texts than these
+    sets = scratch(_shingle_sets(docs, scratch(band.select("t.rid").distinct(), "wanted"), shingle), "sets")
     least = scratch(band.groupBy("k", "part").agg(F.min("t").alias("o")), "least")
     found = check(known, band.drop("big").join(least, ["k", "part"]).where(apart).groupBy("t").agg(F.min("o").alias("o")).select(*pair))
     lower, upper = F.least("t.root", "o.root").alias("lower"), F.greatest("t.root", "o.root").alias("upper")
@@ -228,10 +235,14 @@ def near_copies(docs: DataFrame, shingle: int = 5, most: int = MOST, jaccard: fl
 def drop_near_copies(docs: DataFrame, shingle: int = 5, most: int = MOST, jaccard: float | None = None) -> DataFrame:
     """docs with one row for each component: of its rows with the smallest doc_id (nulls last) the one with the smallest text hash."""
     found = near_copies(docs, shingle, most, jaccard)
-    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "rid", "rid2")).alias("m"))
+    texts = scratch(found.groupBy("root", "rid", "rid2").agg(F.first("doc_id").alias("doc_id"), F.count("*").alias("n")), "copies")
+    best = texts.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid", "rid2", "n")).alias("m"))
+    kept = scratch(best.select("m.rid", "m.rid2", "m.n"), "kept")
     a, b = fresh(docs, "__rid", "__rid2")
-    keep = scratch(best.select(F.col("m.rid").alias(a), F.col("m.rid2").alias(b)).distinct(), "kept")
+    names = (F.col("rid").alias(a), F.col("rid2").alias(b))
+    repeated = scratch(kept.where("n > 1").select(*names), "repeated")
+    other = scratch(texts.join(kept, ["rid", "rid2"], "left_anti").select(*names).union(repeated), "dropped")
     tagged = docs.select(*docs.columns, *(c.alias(n) for n, c in zip((a, b), identity("doc_id", "text"), strict=True)))
-    one = tagged.join(keep, [a, b], "left_semi")
+    once = tagged.join(_if_small(other), [a, b], "left_anti").select(*docs.columns)
     # rows that repeat both doc_id and text: one of them
-    return one.dropDuplicates([a, b]).select(*docs.columns)
+    return once.union(tagged.join(_if_small(repeated), [a, b], "left_semi").dropDuplicates([a, b]).select(*docs.columns))
