@@ -76,6 +76,19 @@ def test_graphs_of_any_depth(spark):
     assert dg.cycles(acyclic).isEmpty()
 
 
+def test_means_that_tie_round_as_in_sql(spark, duck, tmp_path):
+    """Means of 64 tasks whose seventh and last decimal is 5."""
+    import duckdb
+
+    duck.sql(f"COPY (SELECT e.* REPLACE ((i * 7 + u * (i // 9)) AS event_id, u AS user_id) FROM (SELECT * FROM events LIMIT 1) AS e, range(64) AS a(i), range(1, 31) AS b(u)) TO '{tmp_path}/events.parquet'")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet')")
+    want = {r[0]: r for r in con.sql(catalog.ORACLES["workflow_estimates"]).fetchall()}
+    tied = con.sql("SELECT count(*) FROM (SELECT sum(CASE (1 + event_id % 30) % 5 WHEN 0 THEN 70 WHEN 1 THEN 80 WHEN 2 THEN 90 WHEN 3 THEN 95 ELSE 80 END) % 4 AS m FROM events GROUP BY user_id) WHERE m = 2").fetchall()[0][0]
+    assert tied > 3
+    assert {r[0]: tuple(r) for r in catalog.QUERIES["workflow_estimates"](spark, str(tmp_path)).collect()} == want
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
