@@ -336,6 +336,22 @@ def test_decontamination_finds_what_brute_force_finds(spark, monkeypatch, table)
     assert {d for d, _ in long_ones if d >= 9000} == set()
 
 
+def test_no_sample_of_passages_turns_the_latent_space(spark):
+    """Documents count by the words they hold, all of them: the order of the words of others changes no figure of a leak."""
+    g = random.Random(8)
+    words = [f"w{i}" for i in range(400)]
+    items = [g.choices(words, k=30) for _ in range(90)]
+    others = [g.choices(words, k=200) for _ in range(40)]
+    leaking = [g.choices(words, k=20) + items[i] + g.choices(words, k=20) for i in range(12)]
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    found = []
+    for texts in (others, [g.sample(t, len(t)) for t in others]):
+        docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(leaking + texts)], "doc_id long, text string")
+        found.append(sorted((r.doc_id, r.item_id, round(r.cosine, 5)) for r in decontaminate.leaks(docs, bench).collect() if r.doc_id < 12))
+    assert {(i, i) for i in range(12)} <= {r[:2] for r in found[0]}
+    assert found[0] == found[1]
+
+
 def test_lcs():
     g = random.Random(2)
     for _ in range(50):
