@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import CHUNK, byte_values, in_arrow, pieces_of, scratch, spans_hash, text_buffers
+from ._common import CHUNK, byte_values, in_arrow, pieces_of, scratch, sliced, spans_hash, text_buffers
 
 CAPACITY, END_ID = 1024, 2
 #: Units whose ids a worker remembers, beyond which it starts anew; bytes of a unit worth remembering.
@@ -267,7 +267,7 @@ def tokenised(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
 
     def batches(it):
         enc, seen, end = Encoder.at(tokenizer), defaultdict(int), np.array([end_id], np.uint32)
-        for batch in it:
+        for batch in sliced(it):
             out, held = defaultdict(list), []
             part = batch.column(2)[0].as_py() if len(batch) else 0
             for row, ids, last in enc.encode(batch.column(1)):

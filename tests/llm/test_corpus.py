@@ -352,6 +352,14 @@ def test_no_sample_of_passages_turns_the_latent_space(spark):
     assert found[0] == found[1]
 
 
+def test_slices_hold_every_row():
+    from millrace.llm._common import sliced
+
+    b = pa.RecordBatch.from_arrays([pa.array(range(2501))], names=["x"])
+    got = list(sliced([b, b.slice(0, 0)]))
+    assert max(map(len, got)) <= 1000 and [x for s in got for x in s.column(0).to_pylist()] == list(range(2501))
+
+
 def test_lcs():
     g = random.Random(2)
     for _ in range(50):
