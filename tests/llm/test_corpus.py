@@ -222,6 +222,52 @@ def test_near_dedup_catches_edited_copies(spark, empty):
     assert simhash.drop_near_copies(empty, jaccard=0.8).count() == 0
 
 
+def test_near_dedup_compares_few_texts_that_are_alike_but_not_linked(spark, monkeypatch):
+    g = random.Random(21)
+    form = [f"w{g.random()}" for _ in range(300)]
+    texts = []
+    for _ in range(150):  # at about 0.6 of each other
+        words = list(form)
+        for at in g.sample(range(300), 8):
+            words[at] = f"edit{g.random()}"
+        texts.append(words)
+    for words in texts[:20]:
+        at = g.randrange(300)
+        texts.append([*words[:at], "other", *words[at + 1 :]])
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    fps = [simhash.fingerprint(simhash.hashes(" ".join(t), 5)) for t in texts]
+    linked = {(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) or ((fps[i] ^ fps[j]) % 2**64).bit_count() <= 3}
+    assert {(150 + i, i) for i in range(20)} <= linked
+    parent = list(range(len(texts)))
+    for i, j in sorted(linked):
+        lo, hi = sorted((parent[i], parent[j]))
+        parent = [lo if x == hi else x for x in parent]
+    compared, check = [], simhash._check
+
+    def counted(pairs, *more):
+        compared.append(pairs.count())
+        return check(pairs, *more)
+
+    monkeypatch.setattr(simhash, "_check", counted)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id for r in simhash.drop_near_copies(docs, jaccard=0.8).collect()} == set(parent)
+    assert sum(compared) < 500  # of 11,175 pairs that are not linked
+
+
+def test_near_dedup_links_long_texts_whose_sketches_differ_in_level(spark):
+    levels = [[x[0] for x in simhash.sketches(np.random.default_rng(n).integers(0, 2**64, n, dtype=np.uint64), 0.8)] for n in (1, 800, 1000, 1024, 1025, 1700, 2049)]
+    assert levels == [[0], [0], [0, 1], [0, 1], [1], [1, 2], [2]]
+    g, texts = random.Random(22), []
+    for n in (20, 900, 1020, 1800, 2040, 4090, 9000):
+        words = [f"w{g.random()}" for _ in range(n)]
+        edited = list(words)
+        for at in g.sample(range(n), n // 60):
+            edited[at] = f"edit{g.random()}"
+        texts += [words, [*words, *(f"more{g.random()}" for _ in range(n // 7))], edited]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.drop_near_copies(docs, jaccard=0.8).collect()) == list(range(0, 21, 3))
+
+
 def test_toxicity(spark, empty):
     g = random.Random(3)
     clean = [f"w{i}" + "".join(g.choices("abcdefgh", k=4)) for i in range(400)]
