@@ -382,6 +382,44 @@ def test_decontamination_finds_what_brute_force_finds(spark, monkeypatch, table)
     assert {d for d, _ in long_ones if d >= 9000} == set()
 
 
+@pytest.mark.parametrize("table", [1 << 26, 0])
+def test_decontamination_finds_items_amid_words_of_other_items(spark, monkeypatch, table):
+    """An item's word, said over and over around another item, turns the run of blocks away from that: cosine below 0.4."""
+    monkeypatch.setattr(decontaminate, "TABLE", table)
+    monkeypatch.setattr(decontaminate, "ITEMS", 30)  # more than one pass
+    g = random.Random(31)
+    items = [[f"v{i}x{g.randrange(40)}" for _ in range(n)] for i, n in enumerate([6, 9, 14, 16, 18, 33, 50, 59] * 6)]
+    docs, want = [], set()
+    for i, item in enumerate(items):
+        edited = list(item)
+        for p in g.sample(range(len(item)), len(item) // 6):
+            edited[p] = "other"
+        for k, t in enumerate((item, edited)):
+            docs.append((10 * i + k, " ".join([f"again{i}"] * (8 + 16 * k) + t + [f"again{i}"] * 80)))
+            want.add((10 * i + k, i))
+        scattered = [w for x in item for w in [x] + [f"again{i}"] * 12]
+        docs.append((10 * i + 2, " ".join(scattered)))
+    items = [x for i, item in enumerate(items) for x in ((i, item), (1000 + i, [f"again{i}"] * 20))]
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item_id long, text string").coalesce(1)
+    found = [r for r in decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect() if r.item_id < 1000]
+    assert {(r.doc_id, r.item_id) for r in found} == want
+    assert any(r.cosine < 0.4 and r.lcs_ratio == 1 for r in found) and all(r.lcs_ratio == 1 for r in found if r.doc_id % 10 == 0)
+    assert len(found) == len(want)
+
+
+def test_decontamination_takes_the_best_place_and_items_without_id(spark):
+    g = random.Random(32)
+    a, b, c = ([f"{x}{g.randrange(400)}" for _ in range(32)] for x in "abc")
+    none = [f"n{i}" for i in range(20)]
+    items = spark.createDataFrame([("a", " ".join(a)), ("b", " ".join(b)), (None, " ".join(none)), (None, "n1 zebras")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, " ".join(b[:24] + a + c)), (2, " ".join(b[:24] + a + c + c[:8] + a)), (3, " ".join(c + none + c)), (4, "n1 zebras"), (5, " ".join(c))], "doc_id long, text string")
+    found = decontaminate.leaks(docs, items).collect()
+    assert {(r.doc_id, r.item_id) for r in found if r.item_id != "b"} == {(1, "a"), (2, "a"), (3, None), (4, None)}
+    cos = {r.doc_id: r.cosine for r in found if r.item_id == "a"}
+    assert cos[1] + 0.005 < cos[2]
+    assert {r.doc_id for r in decontaminate.drop_leaks(docs, items).collect()} == {5}
+
+
 def test_no_sample_of_passages_turns_the_latent_space(spark):
     """Documents count by the words they hold, all of them: the order of the words of others changes no figure of a leak."""
     g = random.Random(8)
